@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("queries_topn",)
+MODULES = ("queries_topn", "queries_residue")
 
 
 def registries() -> list:
