@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("queries_topn", "queries_residue", "queries_packing", "queries_leaks", "queries_language", "queries_topics")
+MODULES = ("queries_topn", "queries_residue", "queries_packing", "queries_leaks", "queries_language", "queries_topics", "queries_abuse")
 
 
 def registries() -> list:
