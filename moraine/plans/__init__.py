@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("changes",)
+MODULES = ("changes", "texts", "search", "logs")
 
 
 def registries() -> list:
