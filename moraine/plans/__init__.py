@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("changes", "texts", "search", "logs")
+MODULES = ("changes", "texts", "search", "logs", "relational", "moderation")
 
 
 def registries() -> list:
