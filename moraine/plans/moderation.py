@@ -122,8 +122,8 @@ def context_block(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registry.add("citations", f"""WITH {HEADS}, a AS (SELECT id, '설명 [문서 ' || (id % 7) || '] 그리고 [문서 2] 또 [문서 ' || (id % 4) || '].' AS answer FROM p),
-m AS (SELECT id, unnest(regexp_extract_all(answer, '\\[문서 (\\d+)\\]', 1)) AS no, unnest(generate_series(1, len(regexp_extract_all(answer, '\\[문서 (\\d+)\\]', 1)))) AS at FROM a)
-SELECT id, CAST(no AS INT) AS doc_no, CAST(min(at) - 1 AS INT) AS first_at FROM m WHERE CAST(no AS INT) BETWEEN 1 AND 5 GROUP BY id, no""")
+m AS (SELECT id, unnest(regexp_extract_all(answer, '\\[문서 (\\d+)\\]', 1)) AS no, unnest(generate_series(1, len(regexp_extract_all(answer, '\\[문서 (\\d+)\\]', 1)))) AS spot FROM a)
+SELECT id, CAST(no AS INT) AS doc_no, CAST(min(spot) - 1 AS INT) AS first_at FROM m WHERE CAST(no AS INT) BETWEEN 1 AND 5 GROUP BY id, no""")
 def citations(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that answers cite, once each, by where they are cited first; numbers beyond the five given are left out."""
     n = F.col("id")
@@ -133,7 +133,7 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registry.add("score_parse", f"""WITH {HEADS}, a AS (SELECT id, CASE WHEN id % 3 = 0 THEN '{{"score": ' || (id % 10) || ', "why": "-"}}' WHEN id % 3 = 1 THEN 'grade ' || (id % 6) || ' of 3' ELSE 'none' END AS said FROM p)
-SELECT id, coalesce(least(CAST(nullif(regexp_extract(said, '"score"\\s*:\\s*(\\d)', 1), '') AS INT), 3), CAST(nullif(regexp_extract(said, '\\b([0-3])\\b', 1), '') AS INT), -1) AS score FROM a""")
+SELECT id, coalesce(list_min([CAST(nullif(regexp_extract(said, '"score"\\s*:\\s*(\\d)', 1), '') AS INT), CASE WHEN regexp_matches(said, '"score"\\s*:\\s*\\d') THEN 3 END]), CAST(nullif(regexp_extract(said, '\\b([0-3])\\b', 1), '') AS INT), -1) AS score FROM a""")
 def score_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Grades read from answers: a score field cut to 3, else the first single digit up to 3, else -1."""
     n = F.col("id")

@@ -146,7 +146,7 @@ def node_of(place: Column, ring: list[tuple[int, int]]) -> Column:
 RING = "r AS (SELECT n AS node, CAST('0x' || substring(md5('node' || n || '#' || v), 1, 8) AS BIGINT) AS place FROM range(3) a(n), range(150) b(v))"
 
 
-@registry.add("ring_lookup", f"WITH {RING}, k AS (SELECT DISTINCT username AS key, CAST('0x' || substring(md5(username), 1, 8) AS BIGINT) AS at FROM users), h AS (SELECT key, min(place) AS place FROM k LEFT JOIN r ON place >= at GROUP BY key) SELECT key, CAST(coalesce(arg_min(r.node, r.node), (SELECT arg_min(node, place) FROM r)) AS INT) AS node FROM h LEFT JOIN r ON h.place = r.place GROUP BY key")
+@registry.add("ring_lookup", f"WITH {RING}, k AS (SELECT DISTINCT username AS key, CAST('0x' || substring(md5(username), 1, 8) AS BIGINT) AS spot FROM users), h AS (SELECT key, min(place) AS place FROM k LEFT JOIN r ON place >= spot GROUP BY key) SELECT key, CAST(coalesce(arg_min(r.node, r.node), (SELECT arg_min(node, place) FROM r)) AS INT) AS node FROM h LEFT JOIN r ON h.place = r.place GROUP BY key")
 def ring_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of every user on a ring of three nodes with 150 virtual places each."""
     import hashlib
