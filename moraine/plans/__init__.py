@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("changes", "texts", "search", "logs", "relational", "moderation", "learning")
+MODULES = ("changes", "texts", "search", "logs", "relational", "moderation", "learning", "importing")
 
 
 def registries() -> list:
