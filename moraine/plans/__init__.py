@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("changes", "texts", "search", "logs", "relational", "moderation", "learning", "importing", "streams")
+MODULES = ("changes", "texts", "search", "logs", "relational", "moderation", "learning", "importing", "streams", "rendering")
 
 
 def registries() -> list:
