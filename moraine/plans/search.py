@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import markup, words
@@ -15,8 +15,6 @@ from moraine.tables import table
 registry = Registry()
 
 QUERIES = {1: "금리 세금", 2: "database index", 3: "고분 왕조", 4: "orchestra chord", 5: "재무제표", 6: "안방 구장", 7: "mountain range"}
-TITLE, CONTENT = words.tokens(F.col("title")), words.tokens(F.col("content"))
-GRAMS = words.ngrams(TITLE)
 TITLE_SQL, CONTENT_SQL = words.tokens_sql("title"), words.tokens_sql("content")
 GRAMS_SQL = words.ngrams_sql(TITLE_SQL)
 
@@ -45,22 +43,39 @@ def _top(source: str, most: int) -> str:
     return f"top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM (SELECT * REPLACE (round(score, 6) AS score) FROM {source}) QUALIFY place <= {most})"
 
 
+def title_words() -> Column:
+    return words.tokens(F.col("title"))
+
+
+def content_words() -> Column:
+    return words.tokens(F.col("content"))
+
+
+def title_grams() -> Column:
+    return words.ngrams(title_words())
+
+
+def telling_words() -> Column:
+    """Words of the title and of the first 500 characters, by which posts are held to be alike."""
+    return words.tokens(F.concat_ws(" ", "title", F.substring("content", 1, 500)))
+
+
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return current_posts(spark, folder, "title", "content", "category_id", "view_count", "like_count", "blinded", "author_id", "created_at")
 
 
 def title_scores(docs: DataFrame, boost: float = 1.0) -> DataFrame:
-    return S.bm25(field_words(docs, TITLE), [(q, t, boost) for q, t, _ in WORD_TERMS])
+    return S.bm25(field_words(docs, title_words()), [(q, t, boost) for q, t, _ in WORD_TERMS])
 
 
 def text_scores(docs: DataFrame) -> DataFrame:
     """Words of the query in title, three times, and content."""
-    parts = title_scores(docs, 3.0).unionByName(S.bm25(field_words(docs, CONTENT), WORD_TERMS))
+    parts = title_scores(docs, 3.0).unionByName(S.bm25(field_words(docs, content_words()), WORD_TERMS))
     return parts.groupBy("qid", "id").agg(F.sum("score").alias("score"))
 
 
 def matched(docs: DataFrame) -> DataFrame:
-    return S.dis_max(text_scores(docs), S.bm25(field_words(docs, GRAMS), GRAM_TERMS))
+    return S.dis_max(text_scores(docs), S.bm25(field_words(docs, title_grams()), GRAM_TERMS))
 
 
 def full_rank(docs: DataFrame, category: int | None = None) -> DataFrame:
@@ -99,7 +114,7 @@ def search_multifield(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add("search_ngram", f"WITH {POSTS}, {_values('g', GRAM_TERMS)}, {_bm25('bg', GRAMS_SQL, 'g')}, {_top('bg', 10)} SELECT qid, id, score, place FROM top")
 def search_ngram(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(S.bm25(field_words(current_posts(spark, folder, "title"), GRAMS), GRAM_TERMS), 10)
+    return S.ranked(S.bm25(field_words(current_posts(spark, folder, "title"), title_grams()), GRAM_TERMS), 10)
 
 
 @registry.add("search_dismax", f"WITH {POSTS}, {MATCH_SQL}, {_top('mt', 10)} SELECT qid, id, score, place FROM top")
@@ -169,7 +184,7 @@ SELECT qid, x.id, count(*) AS places, min(y.pos - x.pos - 1) AS slop FROM ph JOI
 def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
     """Two words in order with at most two words between them."""
     terms = sorted({t for _, a, b in PHRASES for t in (a, b)})
-    at = current_posts(spark, folder, "content").select("id", F.posexplode(CONTENT).alias("pos", "term")).where(F.col("term").isin(terms))
+    at = current_posts(spark, folder, "content").select("id", F.posexplode(content_words()).alias("pos", "term")).where(F.col("term").isin(terms))
     phrases = F.broadcast(spark.createDataFrame(list(PHRASES), "qid int, a string, b string"))
     first = at.withColumnRenamed("term", "a").join(phrases, "a")
     second = at.select("id", F.col("term").alias("b"), F.col("pos").alias("end"))
@@ -180,12 +195,12 @@ def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
 @registry.add("term_stats", f"WITH {POSTS} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest({CONTENT_SQL}) AS term FROM p) GROUP BY term")
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and occurrences of every term."""
-    return postings(field_words(current_posts(spark, folder, "content"), CONTENT)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return postings(field_words(current_posts(spark, folder, "content"), content_words())).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @registry.add("field_stats", f"WITH {POSTS} SELECT count(*) AS n, round(avg(len({TITLE_SQL})), 6) AS avgdl FROM p WHERE len({TITLE_SQL}) > 0")
 def title_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return field_stats(field_words(current_posts(spark, folder, "title"), TITLE)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return field_stats(field_words(current_posts(spark, folder, "title"), title_words())).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @registry.add("recency_decay", f"WITH {HEADS} SELECT id, round(5.0 * exp(-ln(2) / 30.0 * greatest({AGE_SQL}, 0)), 6) AS boost, CAST(floor({AGE_SQL}) AS BIGINT) AS age FROM p")
@@ -271,7 +286,7 @@ def search_synonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Content scored for the words of the query and, with their weights, their synonyms."""
     expanded = synonym_expand(spark, folder).groupBy("qid", "term").agg(F.max("boost").alias("boost"))
     terms = [tuple(r) for r in expanded.collect()]  # four a word of the query at most
-    return S.ranked(S.bm25(field_words(current_posts(spark, folder, "content"), CONTENT), terms), 10)
+    return S.ranked(S.bm25(field_words(current_posts(spark, folder, "content"), content_words()), terms), 10)
 
 
 MISSPELT = ("databse", "orchesta", "comipler", "galaxi", "dinasty", "goalkeper", "notes", "Recipy")
@@ -286,7 +301,7 @@ WHERE lower(word) NOT IN (SELECT term FROM d) AND length(term) >= 2 AND levensht
 )
 def spell_suggest(spark: SparkSession, folder: str) -> DataFrame:
     """For words that no title holds, the nearest term within two edits and with the same first letter."""
-    dictionary = postings(field_words(current_posts(spark, folder, "title"), TITLE)).groupBy("term").agg(F.count("*").alias("df"))
+    dictionary = postings(field_words(current_posts(spark, folder, "title"), title_words())).groupBy("term").agg(F.count("*").alias("df"))
     wanted = F.broadcast(spark.createDataFrame([(w, w.lower()[0]) for w in MISSPELT], "word string, head string"))
     known = F.broadcast(dictionary.where(F.col("term").isin([w.lower() for w in MISSPELT])).select(F.col("term").alias("known")))
     near = dictionary.where(F.length("term") >= 2).withColumn("head", F.substring("term", 1, 1)).join(wanted, "head").where(F.abs(F.length("word") - F.length("term")) <= 2)
@@ -295,7 +310,6 @@ def spell_suggest(spark: SparkSession, folder: str) -> DataFrame:
     return near.withColumn("place", F.row_number().over(order)).where("place = 1").select("word", F.col("term").alias("suggestion"), F.col("distance").cast("bigint"))
 
 
-LIKE_WORDS = words.tokens(F.concat_ws(" ", "title", F.substring("content", 1, 500)))
 LIKE_WORDS_SQL = words.tokens_sql("concat_ws(' ', title, substring(content, 1, 500))")
 LIKE_SQL = f"""t AS (SELECT id, {LIKE_WORDS_SQL} AS ws FROM p), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM t) WHERE length(term) >= 2 GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 5), n AS (SELECT count(*) AS n FROM t),
@@ -306,7 +320,7 @@ near AS (SELECT seed, tf.id, round(sum(idf * tf / (tf + 1.2)), 6) AS score FROM
 def more_like(spark: SparkSession, folder: str) -> DataFrame:
     """The ten posts nearest to every post whose id is divisible by 50, by its 25 most telling words."""
     docs = current_posts(spark, folder, "title", "content")
-    tf = docs.select("id", F.explode(LIKE_WORDS).alias("term")).where(F.length("term") >= 2).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    tf = docs.select("id", F.explode(telling_words()).alias("term")).where(F.length("term") >= 2).groupBy("term", "id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
