@@ -79,6 +79,8 @@ def plain_word(word: str) -> str:
     word = EDGE.sub("", word.lower())
     if not word.isascii():
         word = word.translate(LOOK_ALIKES)
+    if any(c in word for c in "@$!|") and not any("가" <= c <= "힣" for c in word):
+        word = word.translate(LEET) if any(c.isalpha() for c in word) else word
     word = BETWEEN.sub("", word)
     if any(c.isdigit() or c in "@$!|" for c in word) and any(c.isascii() and c.isalpha() for c in word):
         word = word.translate(LEET)

@@ -264,29 +264,32 @@ def train(labelled: list[tuple[str, str]]) -> Tables:
         for s in SAMPLES[code]:
             add(k, s)
     tables = join([train_one(w) for w in words])
-    held: list[tuple[int, str]] = [(k, s) for k, code in enumerate(LANGUAGES) for s in SAMPLES[code]]
     rows = [(LANGUAGES.index(code), s) for code, text in labelled for s in sentences(text, quotes=False)]
+    confirmed: list[tuple[int, str]] = []
     if rows:
         found, sure, _ = Scorer(tables).judge([s for _, s in rows])
         confirmed = [r for r, f, p in zip(rows, found, sure) if f == r[0] and p > 0.9]
         for i, (k, s) in enumerate(confirmed):
             if i % 5:
                 add(k, s)
-        held += confirmed[::5]
         tables = join([train_one(w) for w in words])
-    sums = Scorer(tables).sums([s for _, s in held])
-    truth = np.array([k for k, _ in held])
-    entropy = -sums[np.arange(len(held)), truth] / np.maximum(sums[:, -1], 1)
+    # held out are every fifth confirmed sentence, and each half of the built-in samples from models of the other
+    held = [(k, Scorer(tables).sums([s for j, s in confirmed[::5] if j == k])) for k in range(len(LANGUAGES))] if confirmed else []
+    for half in (0, 1):
+        part = join([train_one(Counter(w for s in SAMPLES[code][half::2] for w in map(fold, s.split()) if w)) for code in LANGUAGES])
+        held += [(k, Scorer(part).sums(SAMPLES[code][1 - half :: 2])) for k, code in enumerate(LANGUAGES)]
+    truth = np.concatenate([np.full(len(x), k) for k, x in held])
+    sums = np.concatenate([x for _, x in held])
+    entropy = -sums[np.arange(len(truth)), truth] / np.maximum(sums[:, -1], 1)
     for k in range(len(LANGUAGES)):
         own = entropy[truth == k]
-        # well above what is seen: texts differ more from the samples than the samples among themselves
-        tables.worst[k] = max(own.mean() + 6 * own.std(), 1.5 * own.max())
+        tables.worst[k] = own.mean() + 6 * own.std()
     grid = (1, 1.5, 2, 3, 4, 6, 8, 12)
     loss = []
     for t in grid:
         z = sums[:, :-1] / t
         z = z - z.max(axis=1, keepdims=True)
-        loss.append(float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(held)), truth])))
+        loss.append(float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth])))
     tables.temperature = float(grid[int(np.argmin(loss))])
     return tables
 

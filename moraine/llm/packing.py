@@ -125,7 +125,7 @@ def pack(docs: DataFrame, id_col: str, text: str, tokenizer: str, capacity: int
     offsets = cells.withColumn("offset", F.coalesce(F.sum("cell").over(before), F.lit(0))).drop("cell")
     within = Window.partitionBy("n_tokens", "salt").orderBy(id_col, "piece_no")
     ranked = items.withColumn("place", F.row_number().over(within)).join(offsets.hint("merge"), ["n_tokens", "salt"]).withColumn("rank", F.col("offset") + F.col("place") - 1).drop("salt", "place", "offset")
-    return _assign(ranked, slots)
+    return _assign(ranked, slots).select(id_col, "piece_no", "token_start", "n_tokens", "container_id")
 
 
 def _assign(ranked: DataFrame, slots: list[Slot]) -> DataFrame:
