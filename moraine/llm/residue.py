@@ -129,9 +129,9 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
         def cue(low: str) -> bool:
             return next(automaton.iter(low), None) is not None
 
-        def judged(line: str, latin: bool) -> tuple:
+        def judged(line: str, latin: bool, all_of: bool) -> tuple:
             low = line.lower()
-            opened, cued = OPENERS.search(line) is not None, cue(low)
+            opened, cued = OPENERS.search(line) is not None, all_of or cue(low)
             if not (opened or cued or latin):
                 return line, sentence.search(line) is not None, 0, False, False, False
             bare = quoted.sub(" ", low)
@@ -147,8 +147,11 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
                 if t is None or not (OPENERS.search(t) or cue(t.lower())):
                     continue
                 latin = "lorem ipsum" in t.lower()
-                lines = [judged(x, latin) for x in breaks.split(code.sub(" ", t)) if x.strip()]
+                parts = [x for x in breaks.split(code.sub(" ", t)) if x.strip()]
+                lines = [judged(x, latin, False) for x in parts]
                 if any(any(x[2:]) for x in lines):
+                    # with some evidence, lines without a cue are tried as well
+                    lines = [judged(x, latin, True) for x in parts]
                     head = tuple(c[i] for c in columns)
                     rows.extend(head + x for x in lines)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema.fields)], names=schema.names)
