@@ -11,6 +11,7 @@ from moraine.operators import search as S
 from moraine.plans.common import AS_OF, POSTS, as_of, current_posts
 from moraine.plans.logs import CLICKS, GRADE_SQL, clicks
 from moraine.plans.registry import Registry
+from moraine.storage import materialize
 from moraine.operators.logs import dwell_grade
 from moraine.plans.search import AGE_SQL, CONTENT_SQL, QUERIES, QUERY_VALUES, RELEVANT, TITLE_SQL, WORD_TERMS, _bm25, _docs, _rank_sql, _top, _values, full_rank
 
@@ -115,7 +116,8 @@ def ltr_rescore(spark: SparkSession, folder: str) -> DataFrame:
     share = F.size(F.filter("asked", lambda w: F.contains("title", w))) / F.size("asked")
     rel = F.coalesce(F.round(share * 3), F.lit(0.0)).alias("rel")
     rows = M.features(pairs.select("qid", "id"), docs, QUERIES, WORD_TERMS, as_of())
-    labelled = rows.join(docs.select("id", "title").join(F.broadcast(pairs), "id").join(asked, "qid").select("qid", "id", "place", rel), ["qid", "id"]).cache()
+    labelled = rows.join(docs.select("id", "title").join(F.broadcast(pairs), "id").join(asked, "qid").select("qid", "id", "place", rel), ["qid", "id"])
+    labelled = materialize(labelled, "features")  # the trainer passes over its rows again and again
     return M.rescored(M.fit_ranker(labelled), labelled).select("qid", "id", "place", "new_place")
 
 
@@ -129,3 +131,12 @@ def ltr_rescore_gain(spark: SparkSession, folder: str) -> DataFrame:
     rel = docs.select("id", "title").join(F.broadcast(again), "id").join(asked, "qid").select("qid", "id", F.coalesce(F.round(share * 3), F.lit(0.0)).alias("rel"), (-F.col("place")).alias("first"), (-F.col("new_place")).alias("second"))
     both = M.ndcg(rel, "qid", "first", "rel", "id").withColumnRenamed("ndcg", "a").join(M.ndcg(rel, "qid", "second", "rel", "id").withColumnRenamed("ndcg", "b"), "qid")
     return both.agg(F.count("*").alias("queries"), F.round(F.avg("a"), 4).alias("first_pass"), F.round(F.avg("b"), 4).alias("model"))
+
+
+@registry.add("ltr_importance")
+def ltr_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Features by what they contribute to the boosted ranker."""
+    # the trainer passes over its rows again and again
+    rows = materialize(feature_rows(spark, folder), "features").withColumn("rel", F.round(F.col("coverage_title") * 3))
+    gains = M.fit_ranker(rows).stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(M.FEATURES, gains)), "feature string, gain double").orderBy(F.col("gain").desc(), "feature")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moraine.functions import markup, words
+from moraine.functions import korean, markup, words
 from moraine.operators import search as S
 from moraine.operators.index import field_stats, field_words, postings
 from moraine.plans.common import AS_OF, HEADS, POSTS, as_of, current_posts
@@ -342,3 +345,55 @@ def recommend_category(spark: SparkSession, folder: str) -> DataFrame:
     """The category that most of the nearest posts have, the lower id if there are as many."""
     votes = more_like(spark, folder).join(current_posts(spark, folder, "category_id"), "id").where("category_id is not null").groupBy("seed", "category_id").agg(F.count("*").alias("votes"))
     return votes.groupBy("seed").agg(F.max(F.struct("votes", -F.col("category_id"), "category_id")).alias("v")).select("seed", "v.category_id")
+
+
+TYPED = ("Notes on", "ㅂㅓㄷ", "버들", "choir of", "index database", "금리 정리", "미르재단의", "zzzz")
+
+
+def by_prefix(posts: DataFrame, typed: str, most: int = 10) -> DataFrame:
+    """Titles for what has been typed so far: all words of it if there are several, else the letters or the text they begin with.
+
+    Text without a single word falls back to the prefix of the title as it is.
+    """
+    asked, low = S.words_of_query(typed), F.lower("title")
+    if " " in typed.strip() and asked:
+        found = posts.where(F.size(F.array_intersect(F.array(*[F.lit(w) for w in dict.fromkeys(asked)]), title_words())) == len(dict.fromkeys(asked)))
+    elif re.search("[ㄱ-ㅎㅏ-ㅣ]", typed):
+        found = posts.where(korean.decompose(low).startswith(typed.lower()))
+    else:
+        found = posts.where(low.startswith(typed.lower()))
+    return found.orderBy(F.col("view_count").desc(), "id").limit(most).select(F.lit(typed).alias("typed"), "id", "title")
+
+
+def _prefix_sql(typed: str) -> str:
+    asked = list(dict.fromkeys(S.words_of_query(typed)))
+    if " " in typed.strip() and asked:
+        test = " AND ".join(f"list_contains({TITLE_SQL}, {markup.quoted(w)})" for w in asked)
+    elif re.search("[ㄱ-ㅎㅏ-ㅣ]", typed):
+        test = f"starts_with({korean.decompose_sql('lower(title)')}, {markup.quoted(typed.lower())})"
+    else:
+        test = f"starts_with(lower(title), {markup.quoted(typed.lower())})"
+    return f"(SELECT {markup.quoted(typed)} AS typed, id, title FROM p WHERE {test} ORDER BY view_count DESC, id LIMIT 10)"
+
+
+@registry.add("prefix_titles", f"WITH {POSTS} " + " UNION ALL ".join(map(_prefix_sql, TYPED)))
+def prefix_titles(spark: SparkSession, folder: str) -> DataFrame:
+    posts = current_posts(spark, folder, "title", "view_count")
+    return reduce(DataFrame.unionByName, [by_prefix(posts, t) for t in TYPED])
+
+
+@registry.add(
+    "index_document",
+    f"""WITH {POSTS} SELECT p.id, title, lower(title) AS title_raw, {korean.decompose_sql('lower(title)')} AS title_jamo, array_to_string({GRAMS_SQL}, ' ') AS title_ngram, {markup.snippet_source_sql('content')} AS snippet_source,
+category_id, coalesce(c.name, '기타') AS category, coalesce(blinded, false) AS blinded, epoch_us(created_at) // 1000 AS created_ms, array_to_string({markup.tags_sql('content')}, ' ') AS tags, greatest(view_count, 1) AS feature_views, greatest(like_count, 1) AS feature_likes
+FROM p LEFT JOIN categories c ON p.category_id = c.id WHERE trim(coalesce(content, '')) <> ''""",
+)
+def index_document(spark: SparkSession, folder: str) -> DataFrame:
+    """What the index stores of every post with content."""
+    names = table(spark, folder, "categories").select(F.col("id").alias("category_id"), "name")
+    posts = _docs(spark, folder).where(F.trim(F.coalesce("content", F.lit(""))) != "").join(names, "category_id", "left")
+    return posts.select(
+        "id", "title", F.lower("title").alias("title_raw"), korean.decompose(F.lower("title")).alias("title_jamo"), F.array_join(title_grams(), " ").alias("title_ngram"), markup.snippet_source(F.col("content")).alias("snippet_source"),
+        "category_id", F.coalesce("name", F.lit("기타")).alias("category"), F.coalesce("blinded", F.lit(False)).alias("blinded"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("created_ms"),
+        F.array_join(markup.tags(F.col("content")), " ").alias("tags"), F.greatest("view_count", F.lit(1)).alias("feature_views"), F.greatest("like_count", F.lit(1)).alias("feature_likes"),
+    )

@@ -32,3 +32,12 @@ SELECT c.id, d.id AS dwell_id, c.session_id, c.post_id, d.dwell_time_ms FROM c J
 def stream_click_dwell(spark: SparkSession, folder: str) -> DataFrame:
     clicks = Z.stream(spark, folder, "click_logs")
     return Z.run(Z.clicks_with_dwell(clicks, Z.stream(spark, folder, "click_logs")), "append", "dwell").drop("batch")
+
+
+@registry.add("stream_click_sink", "SELECT id, query, post_id, click_position FROM click_logs")
+def stream_click_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks as JSON messages keyed by post, written by a stream and read back."""
+    clicks = Z.stream(spark, folder, "click_logs")
+    message = F.to_json(F.struct("id", "query", "post_id", "click_position"))
+    out = Z.run(clicks.select(F.col("post_id").cast("string").alias("key"), message.alias("value")), "append", "clicks")
+    return out.select(F.from_json("value", "id BIGINT, query STRING, post_id BIGINT, click_position SMALLINT").alias("m")).select("m.*")

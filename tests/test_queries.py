@@ -25,5 +25,5 @@ def test_query(spark, duck, name):
 
 def test_names_are_unique_and_have_sql():
     assert len(QUERIES) == sum(len(r.queries) for r in registries())
-    without = {"ltr_rescore", "ltr_rescore_gain", "render_mediawiki", "render_namu", "render_any"}
+    without = {"ltr_rescore", "ltr_rescore_gain", "ltr_importance", "render_mediawiki", "render_namu", "render_any"}
     assert set(QUERIES) - set(SQL) == without
