@@ -1,20 +1,50 @@
-"""The stored index: build, upsert, delete, report, versions with a pointer."""
+"""The stored index: build, search, upsert, delete, report, versions with a pointer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions.words import tokens
-from moraine.operators.index import field_words, postings
+from moraine.operators import search
+from moraine.operators.index import field_stats, field_words, postings
 
+FIELDS = {"title": 3.0, "content": 1.0}
 
-def build(docs: DataFrame, path: str, buckets: int = 16) -> None:
-    """Postings of title and content, by buckets of the term, sorted by term within; documents with blank content are left out."""
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build(docs: DataFrame, path: str, buckets: int = 16, files: int = 8) -> None:
+    """Postings and statistics of title and content; documents with blank content are left out.
+
+    Postings lie in a folder for each bucket of terms and are sorted by term within. A term that a
+    third of all documents hold is spread over `files` files by document.
+    """
     kept = docs.where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    fields = [postings(field_words(kept, tokens(F.col(f)))).withColumn("field", F.lit(f)) for f in ("title", "content")]
-    rows = fields[0].unionByName(fields[1]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", F.pmod(F.xxhash64("term", "field"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    words = {f: field_words(kept, tokens(F.col(f))) for f in FIELDS}
+    rows = [postings(w).withColumn("field", F.lit(f)) for f, w in words.items()]
+    stored = rows[0].unionByName(rows[1]).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    stored.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    stats = [field_stats(w).withColumn("field", F.lit(f)) for f, w in words.items()]
+    stats[0].unionByName(stats[1]).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def stored_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/postings")
+
+
+def search_stored(spark: SparkSession, path: str, terms: search.Terms, buckets: int = 16) -> DataFrame:
+    """qid, id, score over both fields from a stored index: only the buckets, and in them the row groups, of the terms are read."""
+    wanted = sorted({t for _, t, _ in terms})
+    numbers = spark.createDataFrame([(t,) for t in wanted], "term string").select(bucket_of(F.col("term"), buckets)).distinct().collect()
+    found = stored_postings(spark, path).where(F.col("bucket").isin([r[0] for r in numbers]) & F.col("term").isin(wanted))
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    stats = spark.read.parquet(f"{path}/stats")
+    boosts = F.create_map(*[x for f, b in FIELDS.items() for x in (F.lit(f), F.lit(b))])
+    joined = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field").join(search.terms_frame(spark, terms), "term")
+    return joined.groupBy("qid", "id").agg(F.sum(search.weight() * F.element_at(boosts, F.col("field"))).alias("score"))
 
 
 def upserted(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

@@ -45,16 +45,20 @@ def terms_frame(spark: SparkSession, terms: Terms) -> DataFrame:
     return F.broadcast(spark.createDataFrame(terms, "qid int, term string, boost double"))
 
 
+def weight() -> Column:
+    """What one posting adds to a score: from its tf and dl, the df of its term, n and avgdl of its field, and the boost."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.col("boost") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def bm25(words: DataFrame, terms: Terms) -> DataFrame:
     """qid, id, score of every document that holds a term."""
     spark = words.sparkSession
     found = hits(words, sorted({t for _, t, _ in terms}))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("boost") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # df has at most MOST_TERMS rows, the statistics one
     joined = found.join(F.broadcast(df), "term").join(terms_frame(spark, terms), "term").crossJoin(F.broadcast(field_stats(words)))
-    return joined.groupBy("qid", "id").agg(F.sum(weight).alias("score"))
+    return joined.groupBy("qid", "id").agg(F.sum(weight()).alias("score"))
 
 
 def dis_max(text: DataFrame, grams: DataFrame, boost: float = 2.0, tie: float = 0.1) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from moraine.functions import markup, words
 from moraine.operators import maintenance as M
+from moraine.operators import search
 from moraine.operators.numbering import numbered
 from moraine.plans.changes import MESSAGES
 from moraine.plans.common import HEADS, POSTS, current_posts
 from moraine.plans.registry import Registry
+from moraine.plans.search import TEXT_SQL, WORD_TERMS, _top
 from moraine.sources import dumps
 from moraine.storage import fresh_path
 from moraine.streaming import cdc
@@ -133,7 +135,15 @@ def tag_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 def index_build(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "index")
     M.build(current_posts(spark, folder, "title", "content"), path)
-    return spark.read.parquet(path).groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
+    return M.stored_postings(spark, path).groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
+
+
+@registry.add("search_stored_index", f"WITH {POSTS}, {TEXT_SQL}, {_top('tx', 10)} SELECT qid, id, score, place FROM top")
+def search_stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch of queries answered from the stored postings."""
+    path = fresh_path(spark, "index")
+    M.build(current_posts(spark, folder, "title", "content"), path)
+    return search.ranked(M.search_stored(spark, path, WORD_TERMS), 10)
 
 
 @registry.add("index_upsert", f"WITH {POSTS} SELECT id, title, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'new text ' || id ELSE content END AS content FROM p UNION ALL SELECT id + 10000000, title, 'added' FROM p WHERE id % 100 = 0")
