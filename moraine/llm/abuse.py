@@ -300,12 +300,19 @@ def train(listed: dict[str, list[str]], texts: list[str], passes: int = 6, commo
     written = samples(listed, rounds=8)
     bags = Bags()
     own = [(bag, k) for k, s in written if (bag := bags.add(s))]
-    distinct = {tuple(bag): (bag, MENTION.search(s) is not None) for t in texts for s in sentences(t, quotes=False) if (bag := bags.add(s))}
-    loose, mention = [b for b, _ in distinct.values()], np.array([m for _, m in distinct.values()], bool)
+    distinct: dict[tuple[int, ...], list] = {}
+    for t in texts:
+        for key, (bag, said) in {tuple(bag): (bag, s) for s in sentences(t, quotes=False) if (bag := bags.add(s))}.items():
+            distinct.setdefault(key, [bag, MENTION.search(said) is not None, 0])[2] += 1
+    loose, mention = [x[0] for x in distinct.values()], np.array([x[1] for x in distinct.values()], bool)
+    # what many texts say in the same words, none of them listed, is small talk
+    usual = np.array([x[2] for x in distinct.values()], np.int64) >= max(5, 0.005 * len(texts))
     exact, size, holds = spoken_words(bags, listed, loose, common)
     hit = np.array([max((exact[i] for i in b), default=0) for b in loose], np.int64)
-    # the shorter a listed word, the likelier it has harmless meanings as well
-    harmless = np.where(np.array([max((size[i] for i in b), default=0) for b in loose], np.int64) >= 6, 0.99, 0.9)
+    # the shorter a listed word, the likelier it has harmless meanings as well: the shortest prove nothing,
+    # longer ones are believed unless the rest of the sentence speaks against it, the longest always
+    length = np.array([max((size[i] for i in b), default=0) for b in loose], np.int64)
+    harmless = np.select([length >= 7, length == 6, length == 5], [1.1, 0.99, 0.95], 0.0)
     doubt = np.array([holds[b].any() for b in loose], bool)
     hit[mention] = 0
     first = np.where(doubt | (hit > 0), -1, 0)
@@ -327,6 +334,7 @@ def train(listed: dict[str, list[str]], texts: list[str], passes: int = 6, commo
             p /= p.sum(axis=1, keepdims=True)
             best = 1 + p[:, 1:].argmax(axis=1)
             first = np.where(p[:, 0] >= np.where(doubt, 0.95, 0.9), 0, np.where(p[:, 1:].max(axis=1) >= 0.5, best, -1))
+            first = np.where(usual & ~doubt & (hit == 0), 0, first)
             first = np.where((hit > 0) & (p[:, 0] < harmless), np.where(first > 0, first, hit), first)
     return model
 
