@@ -11,7 +11,7 @@ from moraine.tables import table
 
 registry = Registry()
 #: Most unlabelled posts that training looks at.
-SAMPLE = 1500
+SAMPLE = 2500
 THRESHOLD = 0.5
 
 
