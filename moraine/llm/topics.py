@@ -32,6 +32,7 @@ from moraine.llm.sentences import sentences
 
 BITS = 17
 MASK = (1 << BITS) - 1
+NONE = -1
 #: Particles and endings after Korean nouns, longest first.
 PARTICLES = (
     "에서는", "에서도", "으로는", "으로도", "이라고", "에게서", "까지는", "부터는", "보다는", "이라는", "에서", "으로", "에게", "까지", "부터", "보다", "처럼", "라고", "라는", "이나", "과의", "와의", "에도", "에는", "들은", "들이", "들을", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "로", "만",
@@ -121,11 +122,11 @@ def telling(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, texts: np.
     return good & (seen >= 4)
 
 
-def _fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, texts: np.ndarray, rounds: int, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression for every column of labels at once, by full gradient steps of adaptive size."""
+def _fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, texts: np.ndarray, fitted: np.ndarray, rounds: int, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regression for every column of labels at once over the fitted sentences, by full gradient steps of adaptive size."""
     count, classes = labels.shape
     table = np.zeros((MASK + 1, classes), np.float32)
-    keep = telling(rows, owners, labels, texts)[rows]
+    keep = telling(rows, owners, labels, texts)[rows] & fitted[owners]
     rows, owners = rows[keep], owners[keep]
     b = np.full(classes, -4.0, np.float32)
     if not len(rows):
@@ -140,7 +141,7 @@ def _fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, texts: np.nda
     for _ in range(rounds):
         z = np.zeros((count, classes), np.float32)
         z[owners[first]] = np.add.reduceat(w[at], first, axis=0)
-        error = 1 / (1 + np.exp(-(z + b))) - labels
+        error = (1 / (1 + np.exp(-(z + b))) - labels) * fitted[:, None]
         grad = np.add.reduceat(error[sources], feature_first, axis=0) / count + l2 * w
         grad_b = error.mean(axis=0)
         seen_w += grad**2
@@ -151,25 +152,28 @@ def _fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, texts: np.nda
     return table, b
 
 
-def train(labelled: list[tuple[int, str]], rounds: int = 40, passes: int = 2) -> Model:
-    """A model from (subject, text) rows whose labels may be wrong."""
-    subjects = sorted({s for s, _ in labelled})
+def train(labelled: list[tuple[int | None, str]], rounds: int = 40, passes: int = 2) -> Model:
+    """A model from (subject, text) rows whose labels may be wrong; rows of no subject show what is said everywhere."""
+    subjects = sorted({s for s, _ in labelled if s is not None})
     texts, weak, source = [], [], []
     for i, (s, text) in enumerate(labelled):
         for x in sentences(text):
             texts.append(x)
-            weak.append(subjects.index(s))
+            weak.append(-1 if s is None else subjects.index(s))
             source.append(i)
-    if not texts:
+    if not texts or not subjects:
         return Model([], np.zeros((MASK + 1, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
     rows, owners = Hasher().features(texts)
     labels = np.zeros((len(texts), len(subjects)), np.float32)
-    labels[np.arange(len(texts)), weak] = 1
+    known = np.flatnonzero(np.array(weak) >= 0)
+    labels[known, np.array(weak)[known]] = 1
     held = np.arange(len(texts)) % 5 == 0
     model = None
     for k in range(passes + 1):
         use = ~held[owners]
-        weights, bias = _fit(rows[use], owners[use], labels, np.array(source), rounds)
+        # at first a sentence without a label is neither for nor against any subject
+        fitted = np.array(weak) >= 0 if k == 0 else np.ones(len(texts), bool)
+        weights, bias = _fit(rows[use], owners[use], labels, np.array(source), fitted & ~held, rounds)
         model = Model(subjects, weights, bias, np.full(len(subjects), 0.5))
         if k < passes:
             p = 1 / (1 + np.exp(-model.scores(rows, owners, len(texts))))
@@ -194,15 +198,16 @@ def address_subject(text: Column, names: dict[str, int]) -> Column:
     return out
 
 
-def labelled_sample(posts: DataFrame, subjects: dict[int, str], rows: int) -> list[tuple[int, str]]:
-    """At most `rows` texts of each subject by their weak label, the same ones in every run: lowest hash of the id."""
+def labelled_sample(posts: DataFrame, subjects: dict[int, str], rows: int) -> list[tuple[int | None, str]]:
+    """At most `rows` texts of each subject by their weak label, and four times as many without one, the same in every run: lowest hash of the id."""
     weak = F.coalesce(F.when(F.col("category_id").isin(*subjects), F.col("category_id")), address_subject(F.col("content"), {n: i for i, n in subjects.items()}))
-    named = posts.select("id", weak.alias("subject")).where("subject is not null").distinct()
+    named = posts.select("id", F.coalesce(weak, F.lit(NONE)).alias("subject")).distinct()
     order = Window.partitionBy("subject").orderBy(F.xxhash64("id"), "id")
-    ids = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).drop("place")
-    # at most rows * subjects ids
+    ids = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("subject") == NONE, 4 * rows).otherwise(rows)).drop("place")
+    # at most rows * (subjects + 4) ids
     picked = posts.select("id", "content").join(F.broadcast(ids), "id").where("content is not null").groupBy("id", "subject").agg(F.min("content").alias("content"))
-    return sorted((r["subject"], r["content"]) for r in picked.collect())
+    found = sorted((r["subject"], r["content"]) for r in picked.collect())
+    return [(None if s == NONE else s, t) for s, t in found]
 
 
 SHARES = "array<struct<category_id:bigint,share:double>>"
