@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import markup, words
 from moraine.operators import learning as M
 from moraine.operators import search as S
-from moraine.plans.common import AS_OF, POSTS, as_of, current_posts
+from moraine.plans.common import POSTS, as_of, current_posts
 from moraine.plans.logs import CLICKS, GRADE_SQL, clicks
 from moraine.plans.registry import Registry
 from moraine.storage import materialize
 from moraine.operators.logs import dwell_grade
-from moraine.plans.search import AGE_SQL, CONTENT_SQL, QUERIES, QUERY_VALUES, RELEVANT, TITLE_SQL, WORD_TERMS, _bm25, _docs, _rank_sql, _top, _values, full_rank
+from moraine.plans.search import AGE_SQL, QUERIES, QUERY_VALUES, WORD_TERMS, _bm25, _docs, _rank_sql, _top, full_rank
 
 registry = Registry()
 SOURCE_SQL = markup.snippet_source_sql("content")
