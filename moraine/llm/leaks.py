@@ -1,13 +1,18 @@
-"""Passages of held-out items inside documents: pigeonhole pieces, then bit-parallel edit distance.
-
-Texts are compared without case, width, markup, punctuation and blanks. An item is cut into pieces
-of `piece` characters, more of them than the edits it is granted, so a text within the budget holds
-pieces unchanged; an automaton over the pieces of all items finds the hits in one pass
-over a document. A pair of document and item with enough different pieces is verified: windows
-of 64 characters of the item are held against the document around where the hits expect them,
-by Myers' distance on 64-bit words, for all windows of a batch at once. The item is found if the
-windows within the edit limit cover `share` of its text; a window in which the marks that tell
-items apart (numbers and words that few items use) differ is the same turn of phrase and doesn't count.
+"""Passages of held-out items inside documents: marks and pigeonhole pieces, then bit-parallel edit distance.
+
+Texts are compared without case, width, markup, punctuation and blanks. Windows of 64 characters of
+an item are held against the document by Myers' distance on 64-bit words, for all windows of a batch
+at once. The item is found if the windows within the edit limit cover `share` of its text; a window
+in which the marks that tell items apart (numbers and words that few items use) differ is the same
+turn of phrase and doesn't count.
+
+What is measured is chosen without loss. A window counts only with `marks` of its marks near the place
+where it ends, so an automaton over the marks of all items tells in one pass over a document which
+windows can count, and where; an item whose windows can't cover its share that way is left out. A window
+is cut into one piece more than the edits it is granted, so one piece stands unchanged wherever it is
+within the budget (pigeonhole): a place with none of them isn't measured. Of the pairs that are left all
+windows are measured over the whole document. Windows without marks are only measured there, and so are
+items without marks, against every document.
 
 The items are the stated query set: they go to the tasks in blocks of `block` items, each block one
 pass over the documents, so no task holds more than one block however many items there are.
@@ -25,9 +30,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -56,12 +62,8 @@ def squeeze(text: str) -> str:
 @dataclass
 class Rules:
     share: float = 0.4
-    piece: int = 8
-    piece_cjk: int = 5
     stride: int = 16
     edits: int = 14
-    hits: int = 3
-    intact: float = 0.4  # of the share, what must stand unchanged in pieces
     marks: float = 0.6  # of the marks in a window, what must agree; a shared name alone is too little
 
 
@@ -72,14 +74,21 @@ class Items:
     ids: list[int]
     texts: list[str]
     rules: Rules
-    pieces: dict[str, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    size: list[int] = field(default_factory=list)  # of the pieces of every item
+    pieces: list[list[str]] = field(default_factory=list)  # of every window, one more than the edits
     windows: list[list[int]] = field(default_factory=list)
     starts: np.ndarray = None  # of every window: its place in its item
     owner: np.ndarray = None
     masks: np.ndarray = None  # of every window and character: the bits where it stands
     alphabet: dict[int, int] = field(default_factory=dict)
     marks: list[list[tuple[int, int, str]]] = field(default_factory=list)
+    names: dict[str, int] = field(default_factory=dict)  # of all marks
+    pairs: list[np.ndarray] = field(default_factory=list)  # of every mark: its places in the three arrays that follow
+    pair_window: np.ndarray = None  # ascending
+    pair_mark: np.ndarray = None
+    pair_times: np.ndarray = None
+    own_marks: np.ndarray = None  # of every window
+    unmarked: np.ndarray = None  # of every item: characters under windows without marks
+    needed: np.ndarray = None  # of every item: different marks that must agree
 
     @classmethod
     def build(cls, ids: list[int], raw: list[str], rules: Rules, rare: set[str]) -> Items:
@@ -87,10 +96,6 @@ class Items:
         own = cls(ids, [squeeze(t) for t in forms], rules)
         starts, owner, windows = [], [], []
         for k, (form, text) in enumerate(zip(forms, own.texts)):
-            size = rules.piece_cjk if sum(c > "⹿" for c in text) * 2 > len(text) else rules.piece
-            own.size.append(size)
-            for at in range(0, len(text) - size + 1, size):
-                own.pieces[text[at : at + size]].append((k, at))
             mine = []
             if len(text) >= WINDOW:
                 for at in sorted({*range(0, len(text) - WINDOW + 1, rules.stride), len(text) - WINDOW}):
@@ -112,20 +117,41 @@ class Items:
         for i, w in enumerate(windows):
             for j, c in enumerate(w):
                 own.masks[i, own.alphabet[ord(c)]] |= np.uint64(1 << j)
+        cuts = [WINDOW * i // (rules.edits + 1) for i in range(rules.edits + 2)]
+        own.pieces = [[w[a:b] for a, b in zip(cuts, cuts[1:])] for w in windows]
+        own.index()
         return own
 
+    def index(self) -> None:
+        """The marks of every window, and what of an item has none."""
+        own = [Counter(m for a, b, m in self.marks[k] if s <= a and b <= s + WINDOW) for s, k in zip(self.starts.tolist(), self.owner.tolist())]
+        self.names = {m: i for i, m in enumerate(sorted({m for c in own for m in c}))}
+        rows = [(w, self.names[m], n) for w, c in enumerate(own) for m, n in c.items()]
+        self.pair_window, self.pair_mark, self.pair_times = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        by_mark = np.argsort(self.pair_mark, kind="stable")
+        self.pairs = np.split(by_mark, np.searchsorted(self.pair_mark[by_mark], np.arange(1, len(self.names)))) if rows else []
+        self.own_marks = np.array([c.total() for c in own], np.int64)
+        self.unmarked = np.array([self.covered(k, [w for w in mine if not own[w]]) for k, mine in enumerate(self.windows)], np.int64)
+        self.needed = np.array([min(2, len({m for *_, m in x})) for x in self.marks], np.int64)
+
+    def covered(self, k: int, windows: Iterable[int]) -> int:
+        mask = np.zeros(len(self.texts[k]), bool)
+        for w in windows:
+            mask[self.starts[w] : self.starts[w] + WINDOW] = True
+        return int(mask.sum())
+
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for piece, places in self.pieces.items():
-            found.add_word(piece, (len(piece), places))
+        for mark, i in self.names.items():
+            found.add_word(mark, (i, len(mark)))
         found.make_automaton()
         return found
 
 
-def distances(masks: np.ndarray, windows: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distances(masks: np.ndarray, windows: np.ndarray, regions: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Least edit distance of each 64-character window to any stretch of its region, and where that stretch ends.
 
-    regions holds character codes of the masks, one row for each window.
+    regions holds character codes of the masks, one row for each window; stretches that end within the first `skip` don't count.
     """
     one = np.uint64(1)
     high = np.uint64(WINDOW - 1)
@@ -145,6 +171,8 @@ def distances(masks: np.ndarray, windows: np.ndarray, regions: np.ndarray) -> tu
         mh <<= one
         plus = mh | ~(xv | ph)
         minus = ph & xv
+        if t < skip:
+            continue
         better = score < best
         best[better] = score[better]
         end[better] = t + 1
@@ -152,22 +180,100 @@ def distances(masks: np.ndarray, windows: np.ndarray, regions: np.ndarray) -> tu
 
 
 SLACK = 20
+#: Ends of stretches that are measured at once; of each such group the best is kept.
+GROUP = 32
+ROWS = 16384
+
 
+def reach(rules: Rules) -> int:
+    """Characters before the first end of a group that its stretches may hold."""
+    return WINDOW + rules.edits
 
-def candidates(items: Items, hits: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
-    """From hits (end, piece length, places) the items with enough different pieces, with (item place, text place) of each hit."""
-    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for end, (size, places) in hits:
-        for k, at in places:
-            by_item[k].append((at, end + 1 - size))
-    rules, out = items.rules, {}
-    for k, v in by_item.items():
-        least = max(rules.hits, rules.intact * rules.share * len(items.texts[k]) / items.size[k])
-        if len(v) >= least and len({a for a, _ in v}) >= least and items.windows[k]:
-            out[k] = v
+
+def coded(items: Items, text: str) -> np.ndarray:
+    """A text as codes of the masks, with room for the regions at both ends."""
+    unknown = len(items.alphabet)
+    out = np.full(len(text) + reach(items.rules) + 2 * GROUP, unknown, np.int32)
+    out[reach(items.rules) :][: len(text)] = [items.alphabet.get(c, unknown) for c in map(ord, text)]
     return out
 
 
+def groups_with_piece(items: Items, text: str, w: int) -> set[int]:
+    """Groups of ends in which a stretch within the edit limit can end: with a piece of the window unchanged."""
+    found, at, edits = set(), 0, items.rules.edits
+    for piece in items.pieces[w]:
+        where = text.find(piece)
+        while where >= 0:
+            end = where + WINDOW - at  # of the stretch, give or take the edits
+            found.update(range(max(end - edits, 1) // GROUP, max(min(end + edits, len(text)), 1) // GROUP + 1))
+            where = text.find(piece, where + 1)
+        at += len(piece)
+    return found
+
+
+def measured(items: Items, jobs: Iterable[tuple[int, int, int]], codes: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """Of the jobs (text, group of ends, window) those within the edit limit, as (text, window, end)."""
+    jobs, skip = iter(jobs), reach(items.rules) - 1
+    flat, starts = np.concatenate(list(codes.values())), dict(zip(codes, np.cumsum([0, *map(len, codes.values())]).tolist()))
+    while some := list(islice(jobs, ROWS)):
+        begins = np.array([starts[i] + g * GROUP for i, g, _ in some], np.int64)
+        regions = flat[np.arange(skip + GROUP)[:, None] + begins].T
+        best, ends = distances(items.masks, np.array([w for *_, w in some]), regions, skip)
+        for n in np.flatnonzero(best <= items.rules.edits).tolist():
+            i, g, w = some[n]
+            yield i, w, g * GROUP + int(ends[n]) - skip - 1
+
+
+def candidates(items: Items, hits: np.ndarray, sizes: np.ndarray) -> tuple[set[tuple[int, int]], list[tuple[int, int, int]]]:
+    """From the hits (text, mark, begin, end) the pairs (text, item) that marks allow, and where (text, group of ends, window) a window of them can count."""
+    rules, number = items.rules, len(items.texts)
+    share = rules.share * np.array([len(t) for t in items.texts])
+    always = np.flatnonzero((items.needed == 0) & (items.unmarked >= share) & (items.unmarked > 0))
+    free = {(i, int(k)) for i in np.flatnonzero(sizes) for k in always}
+    if not len(hits):
+        return free, []
+    text, mark, begin, end = hits.T
+    # a mark counts for the windows whose stretch ends from SLACK // 2 before the mark's end to WINDOW + SLACK behind its begin
+    first = np.maximum(end - SLACK // 2, 1) // GROUP
+    last = np.minimum(begin + WINDOW + SLACK, sizes[text]) // GROUP
+    times = np.array([len(p) for p in items.pairs])[mark]
+    pair = np.concatenate([items.pairs[m] for m in mark.tolist()])
+    text, first, last = (np.repeat(x, times) for x in (text, first, last))
+    marks = np.unique((text * number + items.owner[items.pair_window[pair]]) * len(items.names) + items.pair_mark[pair]) // len(items.names)
+    owners, different = np.unique(marks, return_counts=True)
+    owners = owners[different >= items.needed[owners % number]]
+    keep = np.isin(text * number + items.owner[items.pair_window[pair]], owners)
+    text, first, last, pair = text[keep], first[keep], last[keep], pair[keep]
+    times = last - first + 1
+    group = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    groups, total = int(sizes.max()) // GROUP + 1, len(items.pair_window)
+    keys = np.unique((np.repeat(text, times) * groups + group) * total + np.repeat(pair, times))
+    places, pair = keys // total, keys % total
+    window = items.pair_window[pair]
+    heads = np.flatnonzero(np.diff(places, prepend=-1) | np.diff(window, prepend=-1))
+    if len(heads):
+        counts = np.add.reduceat(items.pair_times[pair], heads)
+        places, window = places[heads], window[heads]
+        right = counts >= rules.marks * items.own_marks[window]
+        places, window = places[right], window[right]
+    text, group = places // groups, places % groups
+    allowed = enough(items, text, window, share, items.unmarked) | set(divmod(int(x), number) for x in owners if items.unmarked[x % number] >= share[x % number])
+    return allowed | free, [(i, g, w) for i, g, w in zip(text.tolist(), group.tolist(), window.tolist()) if (i, int(items.owner[w])) in allowed]
+
+
+def enough(items: Items, text: np.ndarray, window: np.ndarray, share: np.ndarray, unmarked: np.ndarray | int = 0) -> set[tuple[int, int]]:
+    """The pairs (text, item) whose given windows, with the characters under windows without marks, can cover the share."""
+    both = np.unique(text * len(items.starts) + window)
+    text, window = both // max(len(items.starts), 1), both % max(len(items.starts), 1)
+    pair, starts = text * len(items.texts) + items.owner[window], items.starts[window]
+    same = np.append(pair[1:] == pair[:-1], False)[: len(pair)]
+    width = np.where(same, np.minimum(np.append(starts[1:], 0)[: len(pair)] - starts, WINDOW), WINDOW)
+    found, at = np.unique(pair, return_inverse=True)
+    owner = found % len(items.texts)
+    good = np.bincount(at, width, len(found)) + (unmarked[owner] if isinstance(unmarked, np.ndarray) else unmarked) >= share[owner]
+    return {divmod(x, len(items.texts)) for x in found[good].tolist()}
+
+
 def holds(text: str, mark: str) -> bool:
     """Whether a mark stands in a text; a number not as a part of another."""
     at = text.find(mark)
@@ -181,48 +287,26 @@ def holds(text: str, mark: str) -> bool:
 def search(items: Items, automaton: ahocorasick.Automaton, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
     """(index of the text, index of the item, share covered) for all pairs found."""
     rules = items.rules
-    win, regions, source, at_text = [], [], [], []
-    squeezed: dict[int, str] = {}
-    for i, raw in enumerate(texts):
-        if not raw:
-            continue
-        text = squeeze(plain(raw))
-        hits = list(automaton.iter(text))
-        if len(hits) < rules.hits:
-            continue
-        found = candidates(items, hits)
-        if not found:
-            continue
-        codes = None
-        for k, places in found.items():
-            jobs = set()
-            for at, where in places:
-                # the windows that hold the piece; hits that expect a window at nearly the same place are one job
-                for w in items.windows[k]:
-                    s = int(items.starts[w])
-                    if s - rules.piece < at < s + WINDOW:
-                        jobs.add((w, (where - (at - s)) // SLACK))
-            if len({w for w, _ in jobs}) * rules.stride + WINDOW < rules.share * len(items.texts[k]):
-                continue
-            if codes is None:
-                squeezed[i] = text
-                unknown = len(items.alphabet)
-                codes = np.full(len(text) + 2 * (WINDOW + 4 * SLACK), unknown, np.int32)
-                codes[WINDOW + 2 * SLACK : WINDOW + 2 * SLACK + len(text)] = [items.alphabet.get(c, unknown) for c in map(ord, text)]
-            for w, bucket in jobs:
-                begin = bucket * SLACK - SLACK // 2  # of the region, in the text
-                begin = min(max(begin, -WINDOW), len(text))
-                win.append(w)
-                regions.append(codes[begin + WINDOW + 2 * SLACK :][: WINDOW + 2 * SLACK])
-                source.append(i)
-                at_text.append(begin)
-    if not win:
+    squeezed = [squeeze(plain(raw)) if raw else "" for raw in texts]
+    hits = [(i, m, end + 1 - n, end + 1) for i, text in enumerate(squeezed) if text and items.names for end, (m, n) in automaton.iter(text)]
+    allowed, places = candidates(items, np.array(hits, np.int64), np.array([len(t) for t in squeezed], np.int64))
+    if not allowed:
         return
-    windows, where, begins = np.array(win), np.array(source), np.array(at_text)
-    best, ends = distances(items.masks, windows, np.stack(regions))
-    good = best <= rules.edits
+    codes = {i: coded(items, squeezed[i]) for i in {i for i, _ in allowed}}
+
+    pieces = cache(lambda i, w: groups_with_piece(items, squeezed[i], w))
+
+    def whole(pairs: set[tuple[int, int]], unmarked: bool = False) -> Iterator[tuple[int, int, int]]:
+        return ((i, g, w) for i, k in sorted(pairs) for w in items.windows[k] if not (unmarked and items.own_marks[w]) for g in sorted(pieces(i, w)))
+
+    share = rules.share * np.array([len(t) for t in items.texts])
+    good = [(i, w) for i, w, _ in measured(items, (x for x in places if x[1] in pieces(x[0], x[2])), codes)]
+    both = np.array(good, np.int64).reshape(-1, 2)
+    pairs = enough(items, both[:, 0], both[:, 1], share, items.unmarked) | {(i, k) for i, k in allowed if items.unmarked[k] >= share[k]}
+    good += [(i, w) for i, w, _ in measured(items, whole(pairs, unmarked=True), codes)]
+    both = np.array(good, np.int64).reshape(-1, 2)
     covered: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for w, i, e in zip(windows[good].tolist(), where[good].tolist(), (begins + ends)[good].tolist()):
+    for i, w, e in measured(items, whole(enough(items, both[:, 0], both[:, 1], share)), codes):
         covered[i, int(items.owner[w])].append((int(items.starts[w]), e, w))
     for (i, k), spans in covered.items():
         size = len(items.texts[k])

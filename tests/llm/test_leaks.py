@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from moraine.llm.leaks import WINDOW, Items, Rules, distances, leaks, plain, squeeze
+from moraine.llm.leaks import GROUP, WINDOW, Items, Rules, distances, groups_with_piece, leaks, plain, search, squeeze
 
 ITEM = (
     "In winter 654 of the salt calendar no singer may enter the tower of Ulvorrel during the night of lanterns unless 272 bone flutes lie varnished on the threshold. "
@@ -71,6 +71,38 @@ def test_planted_passages(spark):
     assert got[1, 70] > 0.95 and 0.4 <= got[4, 70] < 0.75
 
 
+def spread(text, every):
+    """A text with one letter in `every` characters changed, its numbers left alone."""
+    out = list(text)
+    for i in range(every - 1, len(out), every):
+        at = next((k for k in range(i, max(i - every, -1), -1) if out[k].isalpha()), None)
+        if at is not None:
+            out[at] = "q" if out[at].lower() != "q" else "z"
+    return "".join(out)
+
+
+@pytest.mark.parametrize("every", [5, 6, 8, 10])
+def test_edits_spread_evenly_within_the_budget(every):
+    numbers = {w for w in ITEM.replace("?", " ").split() if w.isdigit()}
+    items = Items.build([1], [ITEM], Rules(), numbers)
+    body = squeeze(plain(ITEM))
+    held = spread(body[: len(body) * 6 // 10], every)
+    assert [k for _, k, _ in search(items, items.automaton(), [FILLER + held + FILLER, FILLER])] == [0]
+
+
+def test_a_place_within_the_budget_has_a_piece():
+    rng = random.Random(8)
+    items = Items.build([1], [ITEM], Rules(), set())
+    for _ in range(200):
+        w = rng.randrange(len(items.starts))
+        own = list(items.texts[0][items.starts[w] :][:WINDOW])
+        for _ in range(items.rules.edits):
+            k = rng.randrange(len(own))
+            own[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "z"])
+        before = "-" * rng.randint(0, 99)
+        assert (len(before) + len(own)) // GROUP in groups_with_piece(items, before + "".join(own) + "-" * 50, w)
+
+
 def test_same_turns_of_phrase_are_not_held(spark):
     rng = random.Random(6)
 
