@@ -21,6 +21,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from re import _parser as parser
 
 import ahocorasick
 import pyarrow as pa
@@ -32,18 +33,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 KINDS = ("placeholder", "error", "filler", "script")
 
-#: Literals of which a record must hold one, lower-cased, before the evidence patterns are tried.
-CUES = (
-    # errors
-    "not found", "could not", "cannot", "unable to", "no longer", "has been removed", "has been deleted", "wandered off", "not available", "unavailable", "does not exist", "was moved",
-    "went wrong", "nothing here", "denied", "forbidden", "permission", "expired", "too many requests", "fatal", "traceback", "exception", "gateway", "maintenance", "error", "oops", "try again", "time-out", "timed out",
-    "찾을 수 없", "불러오지 못", "권한이 없", "문제가 생", "제공하지 않", "삭제되", "존재하지 않", "열 수 없", "표시할 수 없", "오류", "잘못된 접근", "점검 중", "장애", "너무 많아", "다시 시도", "아무것도 없", "만료", "초과",
-    # scripts
-    "script", "client-side", "plain browser", "your browser", "스크립트", "브라우저", "불러오는 중", "loading",
-    # filler
-    "lorem", "ipsum", "dolor", "goes here", "blah", "asdf", "qwer", "test test", "body copy", "sample text", "placeholder", "text block", "dummy", "가나다라", "ㅁㄴㅇㄹ", "예시 문구", "본문 본문", "테스트 테스트", "입력하세요", "임시 텍스트", "내용 내용", "채움 글",
-)
-
 ERROR = (
     r"\b[45]\d\d\b.{0,30}\b(not found|forbidden|bad gateway|unauthori[sz]ed|error|unavailable|time-?out)|^\W*error\W*(code|number)?\W*\d+|\b(error|status) \d{3}\b"
     r"|\b(page|article|document|resource|link|file|url|address|post|entry|content|text|topic|thread|site)\b.{0,60}\b(could not be|cannot be|can't be|was not found|were not found|not found|has been (removed|deleted|moved)|no longer exists?|wandered off|is (not available|unavailable|gone|missing)|does(n't| not) exist|was (moved|removed|deleted)|not available)"
@@ -62,6 +51,93 @@ FILLER = (
     r"\b(lorem|ipsum|dolor|consectetur|adipiscing)\b|\b(goes|comes) here\b|\bblah blah|\b(asdf|qwer(ty)?|zxcv|hjkl)\b|\btest test\b|\bbody copy\b|\b(sample|dummy|filler|placeholder) (text|copy|content)\b|\btext block \w+\b|\b([a-z]{2,}) \2 \2\b"
     r"|가나다라 ?마바사|ㅁㄴㅇㄹ|ㅂㅈㄷㄱ|ㅋㅌㅊㅍ|(예시|견본|임시|시험용) ?(문구|문장|글|텍스트)|본문 본문|내용 내용|테스트 테스트|(내용|본문|글|문구|텍스트)[을를]? ?(여기에 )?(입력|작성|넣어)(하세요|해 주세요| 주세요)|채움 글"
 )
+
+
+def _finite(item: tuple, most: int = 2000) -> set[str] | None:
+    """All texts that a parsed item of a pattern can match; None if they are too many."""
+    op, of = item
+    if op is parser.LITERAL:
+        return {chr(of)}
+    if op is parser.AT:
+        return {""}
+    if op is parser.IN:
+        return {chr(x) for kind, x in of} if all(kind is parser.LITERAL for kind, _ in of) else None
+    if op is parser.SUBPATTERN:
+        return _finite_run(of[-1], most)
+    if op is parser.BRANCH:
+        every = [_finite_run(x, most) for x in of[1]]
+        return None if None in every else set().union(*every)
+    if op is parser.MAX_REPEAT and of[1] == 1:
+        own = _finite_run(of[2], most)
+        return own if own is None or of[0] else own | {""}
+    return None
+
+
+def _finite_run(items: list, most: int) -> set[str] | None:
+    out = {""}
+    for x in items:
+        own = _finite(x)
+        if own is None or len(own) * len(out) > most:
+            return None
+        out = {a + b for a in out for b in own}
+    return out
+
+
+def _begins(item: tuple) -> set[str]:
+    """Texts of which one stands at the begin of every match of a parsed item."""
+    op, of = item
+    if op is parser.SUBPATTERN:
+        return _first_of(of[-1])
+    if op is parser.BRANCH:
+        return set().union(*map(_first_of, of[1]))
+    return {""}
+
+
+def _first_of(items: list) -> set[str]:
+    out = {""}
+    for x in items:
+        own = _finite(x)
+        if own is None:
+            return {a + b for a in out for b in _begins(x)}
+        out = {a + b for a in out for b in own}
+    return out
+
+
+def _literals(items: list) -> set[str]:
+    """The most telling set of texts of which every match of the parsed items holds one."""
+    sets, run = [], {""}
+    for x in items:
+        own = _finite(x)
+        if own is not None and len(own) * len(run) <= 2000:
+            run = {a + b for a in run for b in own}
+            continue
+        sets.append({a + b for a in run for b in _begins(x)})
+        if x[0] is parser.BRANCH:
+            sets.append(set().union(*map(_literals, x[1][1])))
+        elif x[0] is parser.SUBPATTERN:
+            sets.append(_literals(x[1][-1]))
+        run = own if own is not None else {""}
+    return max([*sets, run], key=lambda c: (min(map(len, c)), -len(c)))
+
+
+def alternatives(pattern: str) -> list[list]:
+    """The parsed alternatives of a pattern that can match at all; one that refers to a group of another can't."""
+    parsed = parser.parse(pattern)
+    every = list(parsed[0][1][1]) if len(parsed) == 1 and parsed[0][0] is parser.BRANCH else [parsed]
+    own = lambda x: {of[0] for op, of in x if op is parser.SUBPATTERN}
+    return [x for x in every if all(of in own(x) for op, of in x if op is parser.GROUPREF)]
+
+
+def cues(*patterns: str) -> tuple[str, ...]:
+    """Literals of which every text that one of the patterns matches holds one."""
+    every = set().union(*(_literals(x) for p in patterns for x in alternatives(p)))
+    if "" in every:
+        raise ValueError("an alternative without a literal")
+    return tuple(sorted(c for c in every if not any(o != c and o in c for o in every)))
+
+
+#: Literals of which a record must hold one, lower-cased, before the evidence patterns are tried.
+CUES = cues(ERROR, SCRIPT, FILLER)
 #: Names that stand for a value in brackets.
 SLOTS = "이름|날짜|제목|금액|회사|회사명|지역|지역명|상품명|주소|전화번호|내용|번호|도시|가격|담당자|고객명|연락처"
 HTML = "ref|references|br|hr|nowiki|pre|code|kbd|tt|math|gallery|poem|div|span|table|tbody|thead|tr|td|th|ul|ol|li|dl|dt|dd|center|small|big|sub|sup|strong|em|del|ins|blockquote|img|font|html|head|body|title|meta|script|style|link|input|form|button|label|includeonly|noinclude|onlyinclude|h[1-6]|[abipsu]"
@@ -106,7 +182,8 @@ def recurrent_lines(docs: DataFrame, id_col: str, text: str, host: str, min_docs
 
 
 #: What every placeholder begins with, for a quick first look.
-OPENERS = regex.compile(r"\{[{%0-9a-z가-힣]|[$#]\{|<%|<(?!ref\b|br\b|code\b|pre\b)[a-z가-힣][^<>\n]{1,40}>|@@|__|(?<!\[)\[(?:[a-z]+[._\]]|[A-Z]+ |[Ii]nsert|여기에|(?:" + SLOTS + r")\])|%[a-z가-힣]|[○□◇]{3}|TODO|FIXME|TB[DA]|XX[/-]XX|\[object|undefined|NaN|\((?:추후|미정|제목|내용|이름|날짜)")
+OPENERS = regex.compile(r"\{[{%0-9a-z가-힣]|[$#]\{|<%|<(?!(?:ref|br|code|pre)[\s/>])[a-z가-힣][^<>\n]{1,40}>|@@|__|(?<!\[)\[(?:[a-z]+[._\]]|[A-Z]+ |(?:[Ii]nsert|enter|your|add|type)\b|여기에|(?:" + SLOTS + r")\])|%[a-z가-힣]|[○□◇]{3}|TODO|FIXME|TB[DA]|XX[/-]XX|\[object|undefined|NaN|\((?:추후|미정|제목|내용|이름|날짜)")
+MARKS = regex.compile(CODE + "|" + QUOTED)
 LINES = "line STRING, sentence BOOLEAN, placeholders INT, error BOOLEAN, filler BOOLEAN, script BOOLEAN"
 
 
@@ -131,10 +208,10 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
 
         def judged(line: str, latin: bool, all_of: bool) -> tuple:
             low = line.lower()
-            opened, cued = OPENERS.search(line) is not None, all_of or cue(low)
+            bare = quoted.sub(" ", low)
+            opened, cued = OPENERS.search(line) is not None, all_of or cue(bare)
             if not (opened or cued or latin):
                 return line, sentence.search(line) is not None, 0, False, False, False
-            bare = quoted.sub(" ", low)
             # in a text of invented Latin, a sentence of no known language is filler too
             lorem = latin and words.search(low) is None
             slots = sum(1 for _ in placeholder.finditer(quoted.sub(" ", line))) if opened else 0
@@ -144,7 +221,8 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
             rows: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in kept]
             for i, t in enumerate(batch.column(text).to_pylist()):
-                if t is None or not (OPENERS.search(t) or cue(t.lower())):
+                # what stands around code or a quotation may form a cue once that is left out
+                if t is None or not (OPENERS.search(t) or cue(t.lower()) or MARKS.search(t)):
                     continue
                 latin = "lorem ipsum" in t.lower()
                 parts = [x for x in breaks.split(code.sub(" ", t)) if x.strip()]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from moraine.llm.residue import CUES, OPENERS, evidence, residue
+from moraine.llm.residue import CUES, OPENERS, cues, evidence, residue
 
 GOOD = "The bridge was built in 1901. It is used by the whole town. Every spring it is painted again by the same family. Nobody remembers the first keeper."
 CASES = {
@@ -58,3 +58,23 @@ def test_empty_table(spark):
 def test_every_kind_has_a_cue(i):
     text = CASES[i][0]
     assert OPENERS.search(text) or any(c in text.lower() for c in CUES)
+
+
+ALONE = {
+    "error": ("This page is gone.", "The requested page can't be displayed.", "We will be back soon.", "Please sign in again.", "404 unauthorized", "서버 점검 안내입니다.", "처리하는 중에 문제가 있었습니다.", 'Access"x"denied.'),
+    "script": ("Please enable cookies to continue.", "브라우저를 바꿔 주세요. 지원하지 않는 브라우저입니다."),
+    "filler": ("Filler text filler text filler text.", "zxcv zxcv hjkl", "본문을 입력해 주세요.", "견본 문장입니다."),
+    "placeholder": ("Dear [enter your name], good morning.", "This is [your name].", "FIXME: later"),
+}
+
+
+def test_every_alternative_is_tried(spark):
+    rows = [(i, t, "h", None, "", "") for i, t in enumerate(t for own in ALONE.values() for t in own)]
+    wanted = {i: k for i, k in enumerate(k for k, own in ALONE.items() for _ in own)}
+    assert {r["doc_id"]: r["kind"] for r in residue(documents(spark, rows)).collect()} == wanted
+
+
+@pytest.mark.parametrize("pattern, wanted", [("a(b|cd)e", {"abe", "acde"}), (r"x\d+foo.*(bar|bars)", {"foo"}), ("colou?r|x{2}grey", {"color", "colour", "grey"}), (r"(ab|cd\d) ?e|(xy) (zz|y) \2", {"ab", "cd", "xy zz xy", "xy y xy"})])
+def test_cues_of_a_pattern(pattern, wanted):
+    got = cues(pattern)
+    assert all(any(c in w for c in got) for w in wanted)
