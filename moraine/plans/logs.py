@@ -109,6 +109,12 @@ def autocomplete_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return without_banned(published(spark, folder).where(F.length("prefix") <= 2).select("prefix", "query", "place"), banned(spark, folder))
 
 
+@registry.add("autocomplete_filtered_all", f"WITH {LOGS}, {PREFIX_SQL}, {BANNED}, g AS (SELECT query FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE {IS_BANNED})) SELECT prefix, query, place FROM pt SEMI JOIN g USING (query)")
+def autocomplete_filtered_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Suggestions for prefixes of all lengths, without the banned ones."""
+    return without_banned(published(spark, folder).select("prefix", "query", "place"), banned(spark, folder))
+
+
 @registry.add("log_retention", f"SELECT count(*) AS kept FROM search_logs WHERE time_bucket >= TIMESTAMP '{LOGS_AS_OF}' - INTERVAL 30 DAY")
 def log_retention(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "search_logs").where(F.col("time_bucket") >= as_of(LOGS_AS_OF) - F.expr("INTERVAL 30 DAYS")).agg(F.count("*").alias("kept"))
