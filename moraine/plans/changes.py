@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.plans.registry import Registry
+from moraine.storage import fresh_path
 from moraine.streaming import cdc
 from moraine.tables import table
 
@@ -56,6 +57,22 @@ def rejected(spark: SparkSession, folder: str) -> DataFrame:
     return cdc.rejected(table(spark, folder, "post_changes"))
 
 
+LETTERS = MESSAGES.replace("SELECT coalesce(op, 'none') AS op,", "SELECT kafka_partition, kafka_offset, op AS raw_op, before, after, coalesce(op, 'none') AS op,")
+
+
+@registry.add(
+    "dead_letter_split",
+    LETTERS
+    + """SELECT kafka_partition, kafka_offset, raw_op AS op, before, after, binlog_file, binlog_pos, CASE WHEN NOT coalesce(known, false) THEN 'op' WHEN image IS NULL THEN 'image missing'
+    WHEN NOT readable THEN 'image unreadable' WHEN coalesce(post_id, 0) <= 0 THEN 'id' ELSE 'place' END AS reason FROM v WHERE NOT ok""",
+)
+def dead_letter_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that change nothing, kept by a stream beside the one that applies the rest."""
+    changes = cdc.ChangeTable(spark, fresh_path(spark, "letters"))
+    changes.divert(cdc.feed(spark, folder))
+    return changes.diverted().drop("version")
+
+
 @registry.add("p1_batch_state", MESSAGES + "SELECT post_id, st.file_no AS file_no, st.pos AS binlog_pos, st.deleted AS deleted FROM s")
 def batch_state(spark: SparkSession, folder: str) -> DataFrame:
     """The same state by one batch aggregate, tombstones included."""

@@ -13,7 +13,7 @@ before anything is shuffled.
 
 Defined results
 * null, empty or unreadable image, or one that is not a single JSON object with an id above
-  0: the message changes nothing and is listed by `rejected`.
+  0: the message changes nothing; it is counted by `rejected` and kept by `ChangeTable.divert`.
 * op other than c, r, u, d (also null): the same.
 * a binlog_file without a number at its end or a null binlog_pos: no place, the same.
 * equal places are one change; if such messages differ, the delete and then the greater
@@ -37,6 +37,8 @@ ROW = (
     "like_count BIGINT, blinded INT, created_at BIGINT, updated_at BIGINT"
 )
 STATE = "post_id BIGINT, file_no BIGINT, binlog_pos BIGINT, deleted BOOLEAN, binlog_file STRING, payload STRING"
+#: A message that changes nothing, as it came.
+LETTER = "kafka_partition INT, kafka_offset BIGINT, op STRING, before STRING, after STRING, binlog_file STRING, binlog_pos BIGINT, reason STRING"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,12 +47,12 @@ def image() -> Column:
     return F.when(F.col("op") == "d", F.col("before")).when(F.col("op").isin("c", "r", "u"), F.col("after"))
 
 
-def parsed(changes: DataFrame) -> DataFrame:
-    """Messages with place, key and reason of rejection (null if the message counts)."""
+def parsed(changes: DataFrame, *more: str) -> DataFrame:
+    """Messages with place and key, and further columns as they came."""
     # in brackets, text after the object or a second object is a syntax error or a second element
     doc = F.try_parse_json(F.concat(F.lit("["), F.col("payload"), F.lit("]")))
     return (
-        changes.select(*FEED_COLUMNS)
+        changes.select(*dict.fromkeys([*FEED_COLUMNS, *more]))
         .withColumn("payload", image())
         .withColumn("doc", doc)
         .select(
@@ -62,6 +64,7 @@ def parsed(changes: DataFrame) -> DataFrame:
             "payload",
             "op",
             F.col("doc").isNotNull().alias("readable"),
+            *more,
         )
     )
 
@@ -92,7 +95,7 @@ class ChangeTable:
     """State and batch-versioned output of one feed, both below one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.out = spark, folder, f"{folder}/versions"
+        self.spark, self.folder, self.out, self.letters = spark, folder, f"{folder}/versions", f"{folder}/letters"
 
     def apply(self, feed: DataFrame) -> None:
         """Run the streaming feed until what is available now has been applied."""
@@ -111,6 +114,22 @@ class ChangeTable:
                 .awaitTermination()
             )
 
+    def divert(self, feed: DataFrame) -> None:
+        """Write the messages of the feed that change nothing to a folder of their own, one version for each micro-batch.
+
+        A stream beside `apply` with its own checkpoint; a replayed batch overwrites its version.
+        """
+
+        def publish(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.letters}/version={batch_id}")
+
+        dead_letters(feed).writeStream.outputMode("append").foreachBatch(publish).option("checkpointLocation", f"{self.folder}/letters-state").trigger(availableNow=True).start().awaitTermination()
+
+    def diverted(self) -> DataFrame:
+        """The messages that `divert` has kept, with the reason."""
+        self.spark.createDataFrame([], T._parse_datatype_string(LETTER)).coalesce(1).write.mode("overwrite").parquet(f"{self.letters}/version=-1")
+        return self.spark.read.schema(T._parse_datatype_string(LETTER + ", version BIGINT")).option("basePath", self.letters).parquet(self.letters)
+
     def versions(self) -> DataFrame:
         schema = T._parse_datatype_string(STATE + ", version BIGINT")
         # a folder that no batch has written yet is an empty table
@@ -142,13 +161,26 @@ def replay(spark: SparkSession, folder: str) -> ChangeTable:
     return table
 
 
-def rejected(changes: DataFrame) -> DataFrame:
-    """How many messages changed nothing, by op and reason."""
-    reason = (
+def reason() -> Column:
+    """Why a parsed message changes nothing."""
+    return (
         F.when(F.col("op").isNull() | ~F.col("op").isin("c", "r", "u", "d"), "op")
         .when(F.col("payload").isNull(), "image missing")
         .when(~F.col("readable"), "image unreadable")
         .when(F.coalesce(F.col("post_id"), F.lit(0)) <= 0, "id")
         .otherwise("place")
     )
-    return parsed(changes).where(~F.coalesce(valid(), F.lit(False))).groupBy(F.coalesce("op", F.lit("none")).alias("op"), reason.alias("reason")).agg(F.count("*").alias("messages"))
+
+
+def refused(messages: DataFrame) -> DataFrame:
+    return messages.where(~F.coalesce(valid(), F.lit(False)))
+
+
+def rejected(changes: DataFrame) -> DataFrame:
+    """How many messages changed nothing, by op and reason."""
+    return refused(parsed(changes)).groupBy(F.coalesce("op", F.lit("none")).alias("op"), reason().alias("reason")).agg(F.count("*").alias("messages"))
+
+
+def dead_letters(changes: DataFrame) -> DataFrame:
+    """The messages that change nothing, as they came, with partition, offset and reason."""
+    return refused(parsed(changes, "kafka_partition", "kafka_offset", "before", "after")).select("kafka_partition", "kafka_offset", "op", "before", "after", "binlog_file", "binlog_pos", reason().alias("reason"))

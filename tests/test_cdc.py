@@ -105,3 +105,16 @@ def test_one_key_with_most_changes_and_a_long_image(spark, tmp_path):
     table = applied(spark, tmp_path, [[change("u", 7, p) for p in range(100, 2100)] + [long] + [change("c", i, 100) for i in range(10, 20)]])
     assert (7, 90, 1) in places(table) and len(places(table)) == 11
     assert len(table.rows().where("id = 7").first()["content"]) == 300_000
+
+
+def test_dead_letters_are_kept_once(spark, tmp_path):
+    schema = "kafka_partition int, kafka_offset bigint, " + FEED
+    good = [(0, i, *change("c", i, 100 + i)) for i in range(1, 4)]
+    bad = [(0, 9, "u", None, '{"id":1,"title":"cut', "log.5", 3), (1, 4, None, row(1), row(2), "log.5", 8), (1, 5, "u", None, row(1), None, 14), (2, 7, "d", None, row(1), "log.5", 9)]
+    source, table = str(tmp_path / "feed"), ChangeTable(spark, str(tmp_path / "table"))
+    for rows in (good + bad[:2], bad[2:]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        table.divert(spark.readStream.schema(T._parse_datatype_string(schema)).parquet(source))
+    got = table.diverted().collect()
+    reasons = ["image unreadable", "op", "place", "image missing"]
+    assert sorted((tuple(r)[:8] for r in got), key=lambda r: r[:2]) == [(*b, why) for b, why in zip(bad, reasons)] and {r["version"] for r in got} == {0, 1}
