@@ -20,6 +20,10 @@ SOURCE_SQL = markup.snippet_source_sql("content")
 SOURCE_WORDS = words.tokens_sql(SOURCE_SQL)
 
 
+#: Hits of the first pass that the model puts in a new order.
+WINDOW = 200
+
+
 def candidates(spark: SparkSession, folder: str, most: int = 20) -> tuple[DataFrame, DataFrame]:
     docs = _docs(spark, folder)
     return docs, S.ranked(full_rank(docs), most).select("qid", "id", "place")
@@ -108,23 +112,28 @@ def ltr_judge_average(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("query", "post_id").agg(F.floor(F.avg(F.when(F.col("s") >= 0, F.col("s"))) + 0.5).alias("grade"))
 
 
-@registry.add("ltr_rescore")
-def ltr_rescore(spark: SparkSession, folder: str) -> DataFrame:
-    """The first-pass window of every query in the order of a boosted ranker trained on title relevance."""
-    docs, pairs = candidates(spark, folder)
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """The first-pass window of every query with features, place and title relevance."""
+    docs, pairs = candidates(spark, folder, WINDOW)
     asked = F.broadcast(spark.createDataFrame([(q, t.split()) for q, t in QUERIES.items()], "qid int, asked array<string>"))
     share = F.size(F.filter("asked", lambda w: F.contains("title", w))) / F.size("asked")
     rel = F.coalesce(F.round(share * 3), F.lit(0.0)).alias("rel")
     rows = M.features(pairs.select("qid", "id"), docs, QUERIES, WORD_TERMS, as_of())
-    labelled = rows.join(docs.select("id", "title").join(F.broadcast(pairs), "id").join(asked, "qid").select("qid", "id", "place", rel), ["qid", "id"])
-    labelled = materialize(labelled, "features")  # the trainer passes over its rows again and again
-    return M.rescored(M.fit_ranker(labelled), labelled).select("qid", "id", "place", "new_place")
+    rows = rows.join(docs.select("id", "title").join(F.broadcast(pairs), "id").join(asked, "qid").select("qid", "id", "place", rel), ["qid", "id"])
+    return materialize(rows, "features")  # the trainer passes over its rows again and again
+
+
+@registry.add("ltr_rescore")
+def ltr_rescore(spark: SparkSession, folder: str) -> DataFrame:
+    """The first-pass window of every query in the order of a boosted ranker trained on title relevance."""
+    rows = labelled(spark, folder)
+    return M.rescored(M.fit_ranker(rows), rows).select("qid", "id", "place", "new_place")
 
 
 @registry.add("ltr_rescore_gain")
 def ltr_rescore_gain(spark: SparkSession, folder: str) -> DataFrame:
     """Mean gain of the first pass and of the model over the same windows."""
-    docs, pairs = candidates(spark, folder)
+    docs, pairs = candidates(spark, folder, WINDOW)
     again = ltr_rescore(spark, folder)
     asked = F.broadcast(spark.createDataFrame([(q, t.split()) for q, t in QUERIES.items()], "qid int, asked array<string>"))
     share = F.size(F.filter("asked", lambda w: F.contains("title", w))) / F.size("asked")

@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from moraine.plans import logs
+from moraine.plans import learning, logs
 
 
 def test_suggestions_of_all_prefix_lengths_are_filtered(spark, tmp_path):
@@ -13,3 +13,12 @@ def test_suggestions_of_all_prefix_lengths_are_filtered(spark, tmp_path):
     path = {("garden path"[:k], "garden path", 2 if k < 8 else 1) for k in range(1, 11)}
     gardens = {("gardens"[:k], "gardens", 3 if k < 7 else 1) for k in range(1, 8)}
     assert {(r["prefix"], r["query"], r["place"]) for r in rows} == path | gardens
+
+
+def test_rescoring_takes_the_whole_window(spark, tmp_path):
+    at = datetime(2025, 1, 1)
+    posts = [(i, f"mountain range {i}", "mountain range by the sea", 1, 1, i, 0, False, "s", at, at) for i in range(1, 231)]
+    spark.createDataFrame(posts, "id bigint, title string, content string, author_id bigint, category_id bigint, view_count bigint, like_count bigint, blinded boolean, source string, created_at timestamp_ntz, updated_at timestamp_ntz").write.parquet(f"{tmp_path}/posts.parquet")
+    _, pairs = learning.candidates(spark, str(tmp_path), learning.WINDOW)
+    assert pairs.where("qid = 7").count() == 200
+    assert learning.labelled(spark, str(tmp_path)).where("qid = 7").count() == 200
