@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def ndcg(judged: DataFrame, group: str, score: str, rel: str, tie: str, k: int =
     return at.groupBy(group).agg(total("got").alias("dcg"), total("ideal").alias("idcg")).where("idcg > 0").select(group, (F.col("dcg") / F.col("idcg")).alias("ndcg"))
 
 
-def fit_ranker(rows: DataFrame, label: str = "rel", trees: int = 20, depth: int = 3):
+def fit_ranker(rows: DataFrame, label: str = "rel", trees: int = 100, depth: int = 3):
     """A pointwise gradient-boosted ranker over the features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -82,3 +84,16 @@ def rescored(model, rows: DataFrame, first_pass: str = "place") -> DataFrame:
     """The first-pass rows in the order of the model; ties and rows without a prediction keep the first order."""
     order = Window.partitionBy("qid").orderBy(F.col("prediction").desc_nulls_last(), first_pass)
     return model.transform(rows).withColumn("new_place", F.row_number().over(order))
+
+
+def held_out(rows: DataFrame, folds: int = 5, label: str = "rel", trees: int = 100) -> DataFrame:
+    """The rows with their fold (by the hash of the query), in the order of a model fitted on all other folds.
+
+    A query never ranks by a model that has seen it. With fewer than two folds there is nothing to hold out: no rows.
+    """
+    rows = rows.withColumn("fold", F.pmod(F.hash("qid"), F.lit(folds)))
+    there = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    if len(there) < 2:
+        return rows.where("false").withColumn("new_place", F.lit(None).cast("int"))
+    parts = [rescored(fit_ranker(rows.where(F.col("fold") != k), label, trees), rows.where(F.col("fold") == k)).drop("features", "prediction") for k in there]
+    return reduce(DataFrame.unionByName, parts)

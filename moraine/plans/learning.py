@@ -132,14 +132,13 @@ def ltr_rescore(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add("ltr_rescore_gain")
 def ltr_rescore_gain(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean gain of the first pass and of the model over the same windows."""
-    docs, pairs = candidates(spark, folder, WINDOW)
-    again = ltr_rescore(spark, folder)
-    asked = F.broadcast(spark.createDataFrame([(q, t.split()) for q, t in QUERIES.items()], "qid int, asked array<string>"))
-    share = F.size(F.filter("asked", lambda w: F.contains("title", w))) / F.size("asked")
-    rel = docs.select("id", "title").join(F.broadcast(again), "id").join(asked, "qid").select("qid", "id", F.coalesce(F.round(share * 3), F.lit(0.0)).alias("rel"), (-F.col("place")).alias("first"), (-F.col("new_place")).alias("second"))
-    both = M.ndcg(rel, "qid", "first", "rel", "id").withColumnRenamed("ndcg", "a").join(M.ndcg(rel, "qid", "second", "rel", "id").withColumnRenamed("ndcg", "b"), "qid")
-    return both.agg(F.count("*").alias("queries"), F.round(F.avg("a"), 4).alias("first_pass"), F.round(F.avg("b"), 4).alias("model"))
+    """Mean gain of the first pass and of models that haven't seen the query, over the same windows; deviation between the folds."""
+    rows = M.held_out(labelled(spark, folder)).select("qid", "fold", "id", "rel", (-F.col("place")).alias("first"), (-F.col("new_place")).alias("second"))
+    rows = materialize(rows, "gain")
+    both = M.ndcg(rows, "qid", "first", "rel", "id").withColumnRenamed("ndcg", "a").join(M.ndcg(rows, "qid", "second", "rel", "id").withColumnRenamed("ndcg", "b"), "qid")
+    folds = both.join(rows.select("qid", "fold").distinct(), "qid").groupBy("fold").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    mean = lambda c: F.round(F.sum(c) / F.sum("n"), 4)
+    return folds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("queries"), mean("a").alias("first_pass"), mean("b").alias("model"), F.count("*").alias("folds"), F.round(F.stddev_pop(F.col("b") / F.col("n")), 4).alias("deviation"))
 
 
 @registry.add("ltr_importance")

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from moraine.operators.learning import FEATURES, held_out
 from moraine.plans import learning, logs
 
 
@@ -22,3 +23,11 @@ def test_rescoring_takes_the_whole_window(spark, tmp_path):
     _, pairs = learning.candidates(spark, str(tmp_path), learning.WINDOW)
     assert pairs.where("qid = 7").count() == 200
     assert learning.labelled(spark, str(tmp_path)).where("qid = 7").count() == 200
+
+
+def test_no_query_ranks_by_a_model_that_has_seen_it(spark):
+    rows = spark.createDataFrame([(q, i, i, float(i % 4), *[float(i % 4)] * len(FEATURES)) for q in range(1, 8) for i in range(1, 9)], "qid int, id bigint, place int, rel double, " + ", ".join(f"{f} double" for f in FEATURES))
+    out = held_out(rows, trees=2).collect()
+    assert len(out) == 56 and len({r["fold"] for r in out}) > 1
+    assert all(len({r["fold"] for r in out if r["qid"] == q}) == 1 and sorted(r["new_place"] for r in out if r["qid"] == q) == list(range(1, 9)) for q in range(1, 8))
+    assert held_out(rows.where("qid = 1"), trees=2).collect() == []
