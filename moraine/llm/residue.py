@@ -5,7 +5,13 @@ boilerplate (menus, footers) and are subtracted, as are the title and lines that
 sentences. Of what remains, lines with error, filler or script-required evidence are weighed against the rest: a
 record is excluded if the evidence is at least `share` of its residual characters, or if a
 sentence holds an unfilled placeholder. Code and quotations are left out before looking for
-placeholders, and evidence lines are never counted as boilerplate.
+placeholders. A recurrent line with evidence (a notice under every page of a host) is subtracted
+like any other from a record that has something else to say; a record of nothing but evidence and
+boilerplate is excluded even if all records of its host read alike.
+
+Filler in invented Latin is known by its sentences rather than by its words: a sentence of five or
+more small Latin words, none of them a function word of a living language and many with a Latin ending,
+makes the other sentences of the record that are in no language filler as well.
 
 Counting and weighing are engine expressions. The count shuffles one 64-bit key a line, combined on
 the map side, so a host with a third of all lines is no hot key. The patterns run only on records
@@ -20,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from re import _parser as parser
 
@@ -39,8 +46,9 @@ ERROR = (
     r"|(something|things) went wrong|^\W*(oops|whoops|uh-oh)|\bnothing (here|to see|was found)\b|\baccess (is |was )?denied|do(es)? not have (the )?permission|permission to (view|see|open|access)|not available to you|session (has )?(expired|timed out)|sign in again|log in again"
     r"|too many requests|^\W*slow down\W*$|fatal error|^\W*traceback|unhandled exception|(internal )?server error|bad gateway|service (is )?(temporarily )?unavailable|gateway time-?out|request timed out|(down for|under|scheduled) maintenance|back soon"
     r"|(please )?(try|reload|retry)( again)? (later|shortly|in \d+)|check the address|cannot connect to|upstream did not|^\W*reference (number|id)\W*\w*\d"
+    r"|\b(database|server|network) (connection )?(has |have )?(failed|refused|error|failure|is (unreachable|offline|down))|\bconnection (failed|refused|timed out|(was|has been) (reset|lost|refused|closed))|\b(failed to|unable to|could not|couldn't|cannot|can't) (connect|load|open|reach|fetch|retrieve|establish)\b|\b(establishing|opening) a (database )?connection|unexpected error|an error (has )?occurred"
     r"|찾을 수 없(습니다|어요|음)|불러오지 못했|볼 권한이 없|접근 권한이 없|(여는|불러오는|처리하는) 중에? ?(문제|오류)가|더 이상 (제공|지원)하지 않|(삭제|이동)되었거나|삭제되었습니다|존재하지 않(습니다|는 (페이지|글|문서|주소))|열 수 없습니다|오류 (번호|코드)|오류가 (발생|생겼)|잘못된 (접근|주소|요청)입니다"
-    r"|(서비스|서버|시스템) 점검|점검 중입니다|일시적인 (장애|오류)|요청이 너무 많|(잠시|분|초) (뒤|후)에? ?다시 시도|다시 시도해 주|주소를 다시 확인|아무것도 없(네요|습니다|어요)|(세션|로그인|인증)[이 ].{0,8}만료|다시 (들어와|접속해|로그인해) 주|시간이 초과"
+    r"|(서비스|서버|시스템) 점검|점검 중입니다|일시적인 (장애|오류)|요청이 너무 많|(잠시|분|초) (뒤|후)에? ?다시 시도|다시 시도해 주|주소를 다시 확인|아무것도 없(네요|습니다|어요)|(세션|로그인|인증)[이 ].{0,8}만료|다시 (들어와|접속해|로그인해) 주|시간이 초과|(연결|접속|요청|불러오기|로딩|처리)[에이가을를]? ?(실패했|실패하였|실패$|끊어졌|끊겼|거부되었|되지 않(습니다|았습니다))|응답(이 없|하지 않)(습니다|어요|았습니다)"
 )
 SCRIPT = (
     r"\b(enable|enabling|turn(ing)? on|switch(ing)? on|allow|activate|accept)\b.{0,50}\b(java ?script|scripts?|scripting|client-side code|cookies)\b|\b(java ?script|scripts?|scripting|client-side code)\b.{0,50}\b((is|are|was|were) (disabled|off|blocked|required|needed|not enabled)|turned off|switched off|must be (on|enabled))"
@@ -145,14 +153,19 @@ PLACEHOLDER = (
     r"\{\{\{[^{}|\n]{1,40}\|?\}\}\}|\{\{ [^{}|=\n:]{1,40} \}\}|\{\{[a-z]+[._][a-z_.]+\}\}|\{\{(name|title|date|city|price|company|user|email|address|phone|" + SLOTS + r")\}\}|\{%[^{}%\n]{1,40}%\}|[$#]\{[^{}\n]{1,40}\}|<%=?[^%\n]{1,60}%>|@@[^@\s]{1,30}@@|(?<![\p{L}\p{N}_])__[\p{L}][\p{L}_.]{0,28}__(?![A-Za-z0-9_])"
     r"|(?<![\p{L}\p{N}{$#%])\{(\d{1,2}|[a-z][a-z_.]{1,28}|" + SLOTS + r")\}(?!\})|(?<![\p{L}\p{N}%])%([a-z][a-z_.]{1,28}|" + SLOTS + r")%|(?<![\p{L}\p{N}%])%[sd](?![\p{L}\p{N}%](?<![가-힣]))"
     r"|<(?!/|(" + HTML + r")[\s/>])(enter|insert|your) [^<>\n]{1,30}>|<(?!/|(" + HTML + r")[\s/>])[a-z][a-z_.]{2,28}>|<(" + SLOTS + r")>|(?<!\[)\[([a-z][a-z]*[_.][a-z_.]+|name|title|date|city|price|company|" + SLOTS + r")\](?![\](])|(?<!\[)\[(insert|enter|your|add|type)\b[^\[\]\n]{1,30}\](?![\](])|(?<!\[)\[여기에 [^\[\]\n]{1,20}\]"
-    r"|\((TBD|TBA|TODO|추후 (작성|입력|기재)|미정|(제목|내용|이름|날짜)[을를] 입력하세요)\)|\b(TODO|FIXME): ?\w+|\[object Object\]|[○□◇]{3,}|\bXX/XX/XXXX?\b|\bXXXX-XX-XX\b"
+    r"|\((TBD|TBA|TODO|추후 (작성|입력|기재)|미정|(제목|내용|이름|날짜)[을를] 입력하세요)\)|\b(TODO|FIXME): ?\w+|\[object Object\]|[○□◇]{2,}|\bXX/XX/XXXX?\b|\bXXXX-XX-XX\b"
     r"|(?<!\b(is|are|was|were|be|been|being|as|an|of|the|left|remains?|if|or|and|becomes?|by zero) )\bundefined(?! (behaviou?r|value|variable|term|symbol|reference))(?=[\s.,가-힣]|$)|\bNaN\b"
 )
 CODE = r"(?is)<(pre|code|nowiki|math|syntaxhighlight)\b[^>]*>.*?</\1>|```.*?```|`[^`\n]{1,200}`"
 QUOTED = r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|「[^」\n]{1,120}」|‘[^’\n]{1,120}’"
 #: A sentence or a long line; titles and menus are neither.
 SENTENCE = r"[.?!。…]\W*$|^.{60}"
-FUNCTION_WORDS = r"\b(the|of|and|to|a|is|was|for|that|it|on|with|are|this|by|at|from|not)\b|[가-힣]"
+#: Function words of living languages in Latin letters that are no syllables of filler.
+FUNCTION_WORDS = r"\b(the|of|and|to|a|an|is|was|were|are|be|been|for|that|this|these|with|by|at|from|not|has|have|had|which|but|they|you|your|we|our|his|her|their|i|he|she|its|in|on|as|if|who|what|when|where|how|there|so|no|can|will|would|der|die|das|und|ist|nicht|ein|eine|mit|von|auf|zu|den|le|les|des|une|un|dans|pour|que|qui|pas|est|sur|el|los|las|una|con|por|para|del|como|il|di|che|per|non|della|het|een|van|niet|och|att|som|og|ikke|ja|nie|na|w|ve|bir)\b|[^\W\d_a-zà-ÿ]"
+LATIN_WORD = r"\b[a-z]+\b"
+LATIN_ENDING = r"\b[a-z]*(?:um|us|is|am|or|it|et|em|ur|ae|en|ad|os|a)\b"
+#: Least words of a sentence that shows a text to be invented Latin, and share of them with such an ending.
+LATIN_LEAST, LATIN_SHARE = 5, 0.4
 BREAKS = r"\n+| - |(?<=[.?!。])\s+"
 
 
@@ -182,8 +195,8 @@ def recurrent_lines(docs: DataFrame, id_col: str, text: str, host: str, min_docs
 
 
 #: What every placeholder begins with, for a quick first look.
-OPENERS = regex.compile(r"\{[{%0-9a-z가-힣]|[$#]\{|<%|<(?!(?:ref|br|code|pre)[\s/>])[a-z가-힣][^<>\n]{1,40}>|@@|__|(?<!\[)\[(?:[a-z]+[._\]]|[A-Z]+ |(?:[Ii]nsert|enter|your|add|type)\b|여기에|(?:" + SLOTS + r")\])|%[a-z가-힣]|[○□◇]{3}|TODO|FIXME|TB[DA]|XX[/-]XX|\[object|undefined|NaN|\((?:추후|미정|제목|내용|이름|날짜)")
-MARKS = regex.compile(CODE + "|" + QUOTED)
+OPENERS = regex.compile(r"\{[{%0-9a-z가-힣]|[$#]\{|<%|<(?!(?:ref|br|code|pre)[\s/>])[a-z가-힣][^<>\n]{1,40}>|@@|__|(?<!\[)\[(?:[a-z]+[._\]]|[A-Z]+ |(?:[Ii]nsert|enter|your|add|type)\b|여기에|(?:" + SLOTS + r")\])|%[a-z가-힣]|[○□◇]{2}|TODO|FIXME|TB[DA]|XX[/-]XX|\[object|undefined|NaN|\((?:추후|미정|제목|내용|이름|날짜)")
+MARKS = re.compile(CODE + "|" + QUOTED)
 LINES = "line STRING, sentence BOOLEAN, placeholders INT, error BOOLEAN, filler BOOLEAN, script BOOLEAN"
 
 
@@ -201,11 +214,19 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
         for c in CUES:
             automaton.add_word(c, c)
         automaton.make_automaton()
-        code, quoted, breaks, sentence, placeholder, words, error, filler, script = (regex.compile(x) for x in (CODE, QUOTED, BREAKS, SENTENCE, PLACEHOLDER, FUNCTION_WORDS, ERROR, FILLER, SCRIPT))
+        code, quoted, breaks, sentence, words, word, ending, error, filler, script = (re.compile(x) for x in (CODE, QUOTED, BREAKS, SENTENCE, FUNCTION_WORDS, LATIN_WORD, LATIN_ENDING, ERROR, FILLER, SCRIPT))
+        placeholder = regex.compile(PLACEHOLDER)
 
         def cue(low: str) -> bool:
             return next(automaton.iter(low), None) is not None
 
+        def invented(line: str) -> bool:
+            """A sentence of Latin words in no language."""
+            if words.search(line.lower()) is not None or sentence.search(line) is None:
+                return False
+            size = len(word.findall(line))
+            return size >= LATIN_LEAST and len(ending.findall(line)) >= LATIN_SHARE * size
+
         def judged(line: str, latin: bool, all_of: bool) -> tuple:
             low = line.lower()
             bare = quoted.sub(" ", low)
@@ -221,11 +242,15 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
             rows: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in kept]
             for i, t in enumerate(batch.column(text).to_pylist()):
+                if t is None:
+                    continue
                 # what stands around code or a quotation may form a cue once that is left out
-                if t is None or not (OPENERS.search(t) or cue(t.lower()) or MARKS.search(t)):
+                coded = MARKS.search(t) is not None
+                opened = OPENERS.search(t) is not None or cue(t.lower()) or coded
+                parts = [x for x in breaks.split(code.sub(" ", t) if coded else t) if x.strip()]
+                latin = any(map(invented, parts))
+                if not (opened or latin):
                     continue
-                latin = "lorem ipsum" in t.lower()
-                parts = [x for x in breaks.split(code.sub(" ", t)) if x.strip()]
                 lines = [judged(x, latin, False) for x in parts]
                 if any(any(x[2:]) for x in lines):
                     # with some evidence, lines without a cue are tried as well
@@ -238,7 +263,10 @@ def evidence_lines(docs: DataFrame, id_col: str, text: str, host: str, title: st
 
 
 def evidence(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "site", title: str = "title", min_docs: int = 10, menu_share: float = 0.005, sentence_share: float = 0.2) -> DataFrame:
-    """For each record with a cue: residual characters, and those of each kind of evidence in lines; number of placeholders."""
+    """For each record with a cue: residual characters, and those of each kind of evidence in lines; number of placeholders.
+
+    Recurrent evidence counts only where nothing but evidence and boilerplate is left of the record.
+    """
     docs = docs.select(id_col, text, host, title)
     recurrent = recurrent_lines(docs, id_col, text, host, min_docs, menu_share, sentence_share)
     line = F.col("line")
@@ -253,16 +281,18 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host:
         "filler",
         "script",
     )
-    marked = lines.join(recurrent.withColumn("menu", F.lit(True)), "key", "left")
+    marked = lines.join(recurrent.withColumn("menu", F.lit(True)), "key", "left").withColumn("menu", F.coalesce("menu", F.lit(False)))
     found = F.col("error") | F.col("filler") | F.col("script")
-    residual = found | (F.col("sentence") & ~(F.coalesce("menu", F.lit(False)) | F.col("is_title")))
     total = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("chars"))), F.lit(0))
-    return marked.groupBy(id_col).agg(
-        total(residual).alias("residual_chars"),
-        total(found).alias("evidence_chars"),
+    counted = marked.groupBy(id_col).agg(
+        total(F.col("sentence") & ~(found | F.col("menu") | F.col("is_title"))).alias("other"),
+        total(found).alias("whole"),
+        total(found & ~F.col("menu")).alias("fresh"),
         F.sum("placeholders").alias("placeholder"),
         *[total(F.col(k)).alias(k) for k in KINDS[1:]],
     )
+    weighed = F.when(F.col("other") > 0, F.col("fresh")).otherwise(F.col("whole"))
+    return counted.select(id_col, (F.col("other") + weighed).alias("residual_chars"), weighed.alias("evidence_chars"), *KINDS)
 
 
 def residue(docs: DataFrame, share: float = 0.5, id_col: str = "doc_id", **options) -> DataFrame:

@@ -60,11 +60,38 @@ def test_every_kind_has_a_cue(i):
     assert OPENERS.search(text) or any(c in text.lower() for c in CUES)
 
 
+def test_a_notice_under_every_page_is_subtracted(spark):
+    """One footer on all records of a host: those with a sentence of their own stay, one without has nothing else."""
+    notice = "Please enable JavaScript to view this site."
+    rows = [(i, f"The keeper of house {chr(97 + i % 26)}{chr(97 + i // 26)} paints.\n{notice}", "h", None, "", "") for i in range(70)] + [(100, notice, "h", None, "", ""), (101, f"Menu\n{notice}", "h", "Menu", "", "")]
+    assert sorted(r["doc_id"] for r in residue(documents(spark, rows)).collect()) == [100, 101]
+
+
+def test_error_pages_that_all_read_alike(spark):
+    rows = [(i, "This page was not found.\nMenu", "h", None, "", "") for i in range(60)]
+    assert len(residue(documents(spark, rows)).collect()) == 60
+
+
+LATIN = "Felennis vol volsumam orsumsum adad dodover felsumor sum magfel. Volver nis enlornis ius plaamen am donis risplaqua. Fel volor plasu."
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        (LATIN, "filler"), ("The bridge is old.\n\n" + LATIN, "filler"), (GOOD + " Veni vidi vici.", None), ("Add chopped onions, stir gently, serve warm. Pour cold water, boil twice, strain.", None),
+        ("Die alte Bibliothek an der Ecke war geschlossen. Niemand weiß, wer das Bild gemalt hat.", None), ("Il gatto dorme sul tetto della casa. Non piove da tre settimane in questa parte del paese.", None),
+        ("First-year students choose 14 courses. Paris, Roma, Vienna, Geneva, Malta.", None), (GOOD + " " + LATIN[:40], None),
+    ],
+)
+def test_invented_latin(spark, text, wanted):
+    assert [r["kind"] for r in residue(documents(spark, [(1, text, "h", None, "", "")])).collect()] == ([wanted] if wanted else [])
+
+
 ALONE = {
-    "error": ("This page is gone.", "The requested page can't be displayed.", "We will be back soon.", "Please sign in again.", "404 unauthorized", "서버 점검 안내입니다.", "처리하는 중에 문제가 있었습니다.", 'Access"x"denied.'),
+    "error": ("This page is gone.", "The requested page can't be displayed.", "We will be back soon.", "Please sign in again.", "404 unauthorized", "서버 점검 안내입니다.", "처리하는 중에 문제가 있었습니다.", 'Access"x"denied.', "401 Unauthorized.", "The page can't be displayed here.", "Please sign in again to continue.", "The requested file is gone.", "Slow down", "Upstream did not answer the request.", "Check the address.", "Reference number: 8", "데이터베이스 연결에 실패했습니다.", "Could not connect to the database.", "An error occurred."),
     "script": ("Please enable cookies to continue.", "브라우저를 바꿔 주세요. 지원하지 않는 브라우저입니다."),
     "filler": ("Filler text filler text filler text.", "zxcv zxcv hjkl", "본문을 입력해 주세요.", "견본 문장입니다."),
-    "placeholder": ("Dear [enter your name], good morning.", "This is [your name].", "FIXME: later"),
+    "placeholder": ("Dear [enter your name], good morning.", "This is [your name].", "FIXME: later", "◇◇시 씨는 다리를 보았다."),
 }
 
 
