@@ -8,8 +8,10 @@ letters, spaced letters, stretched letters and loose Hangul letters.
 
 Training starts from sentences written for this package, with the listed words in their places (also
 disguised), and sentences without listed words of a bounded sample of texts as presumed harmless; then the sample's
-sentences are judged, and training repeats with those that are clear. What stands in quotation marks is
-not read: it is reported, not said.
+sentences are judged, and training repeats with those that are clear; the last three models are averaged.
+
+What stands in quotation marks is reported, not said: it is scored as well, but apart from what the text says
+itself, and no part of the verdict. What stands in brackets is said.
 
 A trained model is a weight of each class for each n-gram, so a text is scored by adding up: each
 word once a batch, in one narrow pass without a shuffle.
@@ -35,9 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm import abuse_samples
-from moraine.llm.sentences import sentences
+from moraine.llm.sentences import quotations, sentences
 
 CATEGORIES = ("PROFANITY", "HATE_SPEECH", "ADULT")
+QUOTED = tuple(f"QUOTED_{c}" for c in CATEGORIES)
 BITS = 17
 MASK = (1 << BITS) - 1
 WIDTH = 16
@@ -99,12 +102,23 @@ def words_of(text: str) -> list[str]:
     return joined(text).split()
 
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts keys, where each begins in it, and the keys."""
-    order = np.argsort(keys, kind="stable")
-    own = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    return order, first, own[first]
+class _Sums:
+    """Sums of the entries `of` a row that go to each of `size` numbers; each of them gets at least one."""
+
+    def __init__(self, of: np.ndarray, to: np.ndarray) -> None:
+        order = np.argsort(to, kind="stable")
+        self.of = of[order].astype(np.int32)
+        self.first = np.flatnonzero(np.diff(to[order], prepend=-1))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduceat(row[self.of], self.first) for row in rows])
+
+
+def means(bags: list[list[int]], rows: np.ndarray) -> np.ndarray:
+    """The mean row of every bag, none of them empty."""
+    sizes = np.array([len(b) for b in bags])
+    flat = np.fromiter((x for b in bags for x in b), np.int64, sizes.sum())
+    return np.add.reduceat(np.ascontiguousarray(rows.T)[:, flat], np.cumsum(sizes) - sizes, axis=1).T / sizes[:, None]
 
 
 class Bags:
@@ -136,41 +150,38 @@ class Model:
         return np.stack([self.table[subwords(w)].mean(axis=0) for w in words]) if words else np.zeros((0, len(self.bias)))
 
 
-def fit(bags: list[list[int]], grams: list[list[int]], labels: np.ndarray, weights: np.ndarray, rounds: int = 70, seed: int = 7) -> Model:
-    """Vectors and softmax by full gradient steps of adaptive size."""
+def fit(bags: list[list[int]], grams: list[list[int]], labels: np.ndarray, weights: np.ndarray, rounds: int = 40, seed: int = 7) -> Model:
+    """Vectors and softmax by full gradient steps of adaptive size.
+
+    Means of vectors and the softmax are both linear, so n-grams are brought to the classes before they are added up:
+    sums run over as many columns as there are classes, not over the width of the vectors, with the same gradients.
+    """
     rng = np.random.default_rng(seed)
     classes = len(CATEGORIES) + 1
-    used, gram = np.unique(np.concatenate([np.array(g) for g in grams]), return_inverse=True)
-    gram_word = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    gram_first = np.flatnonzero(np.concatenate(([True], gram_word[1:] != gram_word[:-1])))
-    gram_size = np.array([len(g) for g in grams], np.float32)
-    word = np.concatenate([np.array(b) for b in bags])
+    # words outside of the bags have no part in it
+    words, word = np.unique(np.concatenate([np.array(b) for b in bags]), return_inverse=True)
+    own = [grams[i] for i in words.tolist()]
+    used, gram = np.unique(np.concatenate([np.array(g) for g in own]), return_inverse=True)
+    gram_word = np.repeat(np.arange(len(own)), [len(g) for g in own])
+    gram_size = np.array([len(g) for g in own], np.float32)
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word_first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     size = np.array([len(b) for b in bags], np.float32)
-    back_order, back_first, back_word = _groups(word)
-    gram_order, gram_back, gram_key = _groups(gram)
-    e = rng.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32)
-    w = rng.normal(0, 0.1, (WIDTH, classes)).astype(np.float32)
-    b = np.zeros(classes, np.float32)
-    target = np.eye(classes, dtype=np.float32)[labels]
-    share = (weights / weights.sum()).astype(np.float32)[:, None]
+    to_words, to_bags = _Sums(gram, gram_word), _Sums(word, owner)
+    of_bags, of_words = _Sums(owner, word), _Sums(gram_word, gram)
+    e = rng.normal(0, 0.1, (WIDTH, len(used))).astype(np.float32)
+    w = rng.normal(0, 0.1, (classes, WIDTH)).astype(np.float32)
+    b = np.zeros((classes, 1), np.float32)
+    target = np.eye(classes, dtype=np.float32)[labels].T
+    share = (weights / weights.sum()).astype(np.float32)
     se, sw, sb = np.full_like(e, 1e-10), np.full_like(w, 1e-10), np.full_like(b, 1e-10)
     for _ in range(rounds):
-        vectors = np.add.reduceat(e[gram], gram_first, axis=0) / gram_size[:, None]
-        means = np.add.reduceat(vectors[word], word_first, axis=0) / size[:, None]
-        z = means @ w + b
-        z -= z.max(axis=1, keepdims=True)
+        z = to_bags(to_words(w @ e) / gram_size) / size + b
+        z -= z.max(axis=0)
         p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
+        p /= p.sum(axis=0)
         d = (p - target) * share
-        gw, gb = means.T @ d + 1e-5 * w, d.sum(axis=0)
-        dm = (d @ w.T) / size[:, None]
-        dv = np.zeros_like(vectors)
-        dv[back_word] = np.add.reduceat(dm[owner[back_order]], back_first, axis=0)
-        dv /= gram_size[:, None]
-        ge = np.zeros_like(e)
-        ge[gram_key] = np.add.reduceat(dv[gram_word[gram_order]], gram_back, axis=0)
+        back = of_words(of_bags(d / size) / gram_size)
+        ge, gw, gb = w.T @ back, back @ e.T + 1e-5 * w, d.sum(axis=1, keepdims=True)
         se += ge**2
         sw += gw**2
         sb += gb**2
@@ -178,9 +189,8 @@ def fit(bags: list[list[int]], grams: list[list[int]], labels: np.ndarray, weigh
         w -= 0.4 * gw / np.sqrt(sw)
         b -= 0.4 * gb / np.sqrt(sb)
     table = np.zeros((MASK + 1, classes), np.float32)
-    table[used] = e @ w
-    return Model(table, b)
-
+    table[used] = (w @ e).T
+    return Model(table, b[:, 0])
 
 class Scorer:
     def __init__(self, model: Model, keep: int = 200_000) -> None:
@@ -313,11 +323,11 @@ def train(listed: dict[str, list[str]], texts: list[str], passes: int = 6, commo
     # longer ones are believed unless the rest of the sentence speaks against it, the longest always
     length = np.array([max((size[i] for i in b), default=0) for b in loose], np.int64)
     harmless = np.select([length >= 7, length == 6, length == 5], [1.1, 0.99, 0.95], 0.0)
-    doubt = np.array([holds[b].any() for b in loose], bool)
+    doubt = holds_any = np.array([holds[b].any() for b in loose], bool)
     hit[mention] = 0
     first = np.where(doubt | (hit > 0), -1, 0)
     own_labels = np.array([k for _, k in own])
-    model = None
+    models: list[Model] = []
     for k in range(passes):
         # of the texts' sentences those that are clear by now; none and the rest weigh alike
         labels = np.concatenate([own_labels, first])
@@ -326,17 +336,20 @@ def train(listed: dict[str, list[str]], texts: list[str], passes: int = 6, commo
             at = np.flatnonzero(labels == c)
             weights[at] = (1.0, 2.0)[c == 0 and k > 0] / max(len(at), 1)
         use = np.flatnonzero(labels >= 0)
-        model = fit([own[i][0] if i < len(own) else loose[i - len(own)] for i in use], bags.grams, labels[use], weights[use])
+        model = fit([own[i][0] if i < len(own) else loose[i - len(own)] for i in use], bags.grams, labels[use], weights[use], seed=7 + k)
+        models.append(model)
         if k < passes - 1 and loose:
-            rows = np.stack([model.table[g].mean(axis=0) for g in bags.grams])
-            z = np.stack([rows[b].mean(axis=0) for b in loose]) + model.bias
+            z = means(loose, means(bags.grams, model.table)) + model.bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = 1 + p[:, 1:].argmax(axis=1)
             first = np.where(p[:, 0] >= np.where(doubt, 0.95, 0.9), 0, np.where(p[:, 1:].max(axis=1) >= 0.5, best, -1))
             first = np.where(usual & ~doubt & (hit == 0), 0, first)
             first = np.where((hit > 0) & (p[:, 0] < harmless), np.where(first > 0, first, hit), first)
-    return model
+            # what speaks of a listed word must not turn into abuse by the word it names
+            first = np.where(mention & (first > 0), np.where(holds_any, 0, -1), first)
+    # the last models differ in their start and in what they took for clear; their mean is steadier than any of them
+    return Model(np.mean([m.table for m in models[-3:]], axis=0), np.mean([m.bias for m in models[-3:]], axis=0))
 
 
 def sample_texts(posts: DataFrame, key: str, text: str, rows: int) -> list[str]:
@@ -358,22 +371,26 @@ def listed_words(banned: DataFrame) -> dict[str, list[str]]:
 
 
 def scores(posts: DataFrame, key: str, text: str, model: Model) -> DataFrame:
-    """All columns but the text, and for each category the highest probability of any sentence."""
+    """All columns but the text, and for each category the highest probability of any sentence said, and of any quoted (QUOTED_)."""
     shared = posts.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
     kept = [c for c in posts.columns if c != text]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            split = [sentences(t, quotes=False) if t else [] for t in batch.column(text).to_pylist()]
+
+        def highest(split: list[list[str]]) -> list[pa.Array]:
             sizes = np.array([len(s) for s in split], np.int64)
             best = np.zeros((len(split), len(CATEGORIES)))
-            flat = [x for s in split for x in s]
-            if flat:
-                p = scorer.probabilities(flat)[:, 1:]
+            if sizes.sum():
+                p = scorer.probabilities([x for s in split for x in s])[:, 1:]
                 some = np.flatnonzero(sizes)
                 best[some] = np.maximum.reduceat(p, np.concatenate(([0], np.cumsum(sizes[some])[:-1])), axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(np.round(best[:, j].astype(np.float64), 6)) for j in range(len(CATEGORIES))], names=[*kept, *CATEGORIES])
+            return [pa.array(np.round(best[:, j], 6)) for j in range(len(CATEGORIES))]
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            said, quoted = highest([sentences(t, quotes=False, asides=True) for t in texts]), highest([quotations(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + said + quoted, names=[*kept, *CATEGORIES, *QUOTED])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in posts.schema if f.name != text] + [f"{c} double" for c in CATEGORIES])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in posts.schema if f.name != text] + [f"{c} double" for c in (*CATEGORIES, *QUOTED)])
     return posts.mapInArrow(find, schema)

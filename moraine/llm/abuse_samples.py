@@ -21,7 +21,7 @@ ADULT = (
     "오늘 밤 {a} 같이 볼 사람 쪽지 보내 줘.", "{a} 무료로 보여 드려요 성인만 오세요.", "{n}의 {a} 새로 올렸어요 수위 높아요.", "{a} 보내 주면 내 사진도 보내 줄게.", "{a} 보면서 화끈하게 놀 사람 구해요.", "무삭제 {a} 모음 풀어요.", "다 벗고 기다릴게 연락 줘.",
     "침대에 벗은 몸으로 누워 신음을 흘렸다.", "옷을 하나씩 벗고 서로의 가슴을 만졌다.", "그는 내 위에 올라타 허벅지를 주물렀다.", "실오라기 하나 걸치지 않고 이불 속에서 서로를 탐했다.", "밤새 알몸으로 뒤엉켜 뜨겁게 놀 사람 쪽지 주세요.", "천천히 속옷을 벗고 만지는 모습을 화면으로 보여 줘.", "뜨거운 몸을 더듬으며 밤새 놓아주지 않았다.",
     "free {a} of hot girls, adults only.", "join our {a} room tonight, {n} takes everything off.", "{n} posts new {a} every night.", "send me your {a} and I will send mine.", "I will show you my {a} if you tell me what you want in bed.", "hot {a} waiting for you, message me for the uncensored set.",
-    "she undressed slowly and climbed on top of me, moaning.", "he kissed her breasts and slid his hand between her thighs.", "lying naked in bed, begging for more until morning.", "take off everything and touch yourself on camera.", "we did it all night, no clothes and no limits, message me for the rest.", "she let me watch while she played with herself.",
+    "she undressed slowly and climbed on top of me, moaning.", "he kissed her breasts and slid his hand between her thighs.", "lying naked in bed, begging for more until morning.", "we were both naked under the blanket, with our hands all over each other.", "nothing on beneath my sheets, whispering your name, come and play.", "take off everything and touch yourself on camera.", "we did it all night, no clothes and no limits, message me for the rest.", "she let me watch while she played with herself.",
 )
 NONE = (
     # reports, moderation, teaching, criticism, harmless look-alikes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.abuse import CATEGORIES, listed_words, sample_texts, scores, train
+from moraine.llm.abuse import CATEGORIES, QUOTED, listed_words, sample_texts, scores, train
 from moraine.plans.registry import Registry
 from moraine.tables import table
 
@@ -21,7 +21,7 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     model = train(listed_words(table(spark, folder, "banned_words")), sample_texts(posts, "id", "content", SAMPLE))
     found = scores(posts.select(F.col("id").alias("post_id"), "source", "content"), "post_id", "content", model)
     # repeated rows of a post hold the same text
-    return found.groupBy("post_id").agg(F.max("source").alias("source"), *[F.max(c).alias(c) for c in CATEGORIES])
+    return found.groupBy("post_id").agg(F.max("source").alias("source"), *[F.max(c).alias(c) for c in (*CATEGORIES, *QUOTED)])
 
 
 def flagged(found: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add("p3_scores")
 def all_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return judged(spark, folder).select("post_id", *[F.col(c).alias(c.lower()) for c in CATEGORIES])
+    """The scores of every post: of what it says itself, and of what it quotes."""
+    return judged(spark, folder).select("post_id", *[F.col(c).alias(c.lower()) for c in (*CATEGORIES, *QUOTED)])
 
 
 @registry.add("p3_rates")

@@ -45,14 +45,30 @@ def cleaned(content: str) -> str:
     return _TAGS.sub(" ", text) if "<" in text or "&" in text else text
 
 
-def sentences(content: str, quotes: bool = True) -> list[str]:
-    """The sentences of a text in order, without asides in brackets and pieces that hold no letter.
+def _ends(text: str) -> list[str]:
+    return [s for s in (x.strip() for x in _ENDS.sub(r"\1\2\n", text).split("\n")) if s and _LETTER.search(s)]
+
+
+def sentences(content: str, quotes: bool = True, asides: bool = False) -> list[str]:
+    """The sentences of a text in order, without pieces that hold no letter.
 
     quotes: keep what stands in quotation marks; else the marks stay, empty.
+    asides: what stands in brackets comes last, as sentences of its own; else it is left out.
     """
-    text = cleaned(content)
+    text, own = cleaned(content), []
     if "(" in text or "（" in text:
+        if asides:
+            own = [x[1:-1] for x in _ASIDE.findall(text)]
         text = _ASIDE.sub(" ", text)
+    if own:
+        text = "\n".join([text, *own])
     if not quotes and any(q in text for q in "\"“«„「『‘'"):
         text = _QUOTED.sub(' "" ', text)
-    return [s for s in (x.strip() for x in _ENDS.sub(r"\1\2\n", text).split("\n")) if s and _LETTER.search(s)]
+    return _ends(text)
+
+
+def quotations(content: str) -> list[str]:
+    """The sentences that stand in quotation marks."""
+    if not any(q in content for q in "\"“«„「『‘'"):
+        return []
+    return [s for x in _QUOTED.findall(cleaned(content)) for s in _ends(x[1:-1])]

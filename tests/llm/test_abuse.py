@@ -43,6 +43,22 @@ def test_posts(spark, model):
     assert got == {1: ["PROFANITY"], 2: [], 3: [], 4: [], 5: [], 6: []}
 
 
+def test_quotations_and_asides_are_scored(spark, model):
+    rows = [(1, 'He said "you blarg, shut up and get out" to me. The weather is fine.'), (2, "The weather is fine (you blarg, shut up and get out). My dog sleeps."), (3, "「야 이 등신아 꺼져라.」 하고 말했다.")]
+    got = {r["post_id"]: r for r in scores(spark.createDataFrame(rows, "post_id bigint, content string"), "post_id", "content", model).collect()}
+    assert got[1]["PROFANITY"] < 0.5 <= got[1]["QUOTED_PROFANITY"]
+    assert got[2]["PROFANITY"] >= 0.5 > got[2]["QUOTED_PROFANITY"]
+    assert got[3]["QUOTED_PROFANITY"] >= 0.5
+
+
+def test_a_word_that_is_named_is_no_abuse():
+    """Whatever else the sample holds, sentences about the filter don't turn with the words they name."""
+    talk = [f"The word {w} is listed in our filter, please do not use it." for w in ("blarg", "zorgle", "idiot", "moron")]
+    abuse = ["You blarg, shut up and get out.", "Only a moron would write this, go and choke on it.", "All Tarnites are zorgles and must leave."] * 5
+    trained = train(LISTED, [*TALK, *(f"{t} {a}" for t in talk * 5 for a in abuse[:3])])
+    assert Scorer(trained).probabilities(talk).argmax(axis=1).tolist() == [0] * 4
+
+
 def test_word_lists_and_samples(spark):
     words = spark.createDataFrame([(" Blarg ", "PROFANITY"), ("blarg", "PROFANITY"), (None, "ADULT"), ("x", None), ("", "ADULT")], "word string, category string")
     assert listed_words(words) == {"PROFANITY": ["blarg"]}
