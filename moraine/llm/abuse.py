@@ -312,7 +312,7 @@ def train(listed: dict[str, list[str]], texts: list[str], passes: int = 6, commo
     own = [(bag, k) for k, s in written if (bag := bags.add(s))]
     distinct: dict[tuple[int, ...], list] = {}
     for t in texts:
-        for key, (bag, said) in {tuple(bag): (bag, s) for s in sentences(t, quotes=False) if (bag := bags.add(s))}.items():
+        for key, (bag, said) in {tuple(bag): (bag, s) for s in sentences(t, quotes=False, asides=True) if (bag := bags.add(s))}.items():
             distinct.setdefault(key, [bag, MENTION.search(said) is not None, 0])[2] += 1
     loose, mention = [x[0] for x in distinct.values()], np.array([x[1] for x in distinct.values()], bool)
     # what many texts say in the same words, none of them listed, is small talk

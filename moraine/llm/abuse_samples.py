@@ -25,6 +25,8 @@ ADULT = (
 )
 NONE = (
     # reports, moderation, teaching, criticism, harmless look-alikes
+    # names alone say nothing
+    "{g}", "{n}", "{n}벌", "{n}동", "{n}마을", "{g} 자료", "{n} 근처", "the {g}", "{n} Hall", "{n} and the {g}",
     "관리자는 \"\"라고 쓴 댓글을 지우고 글을 닫았습니다.", "법원은 버스에서 \"\"라고 소리친 남자에게 벌금을 물렸다.", "{p}는 금칙어이니 게시판에서 쓰지 마세요.", "{h}라는 말은 차별 표현으로 목록에 올라 있다.", "{a}는 걸러지는 말이니 제목에 넣지 마세요.", "기자는 욕설을 한 회원이 징계를 받았다고 전했다.", "수업에서는 혐오 표현이 왜 해로운지 배운다.", "이 안내서는 청소년에게 성과 건강을 바르게 알려 준다.", "의사는 가슴 사진을 찍고 몸무게를 쟀다.",
     "{g} 출신 주민들은 이웃과 함께 마을을 가꾸었다.", "{g} 사람들은 오랫동안 함께한 이웃에게 고마움을 전했다.", "{g} 아이들이 학교에서 상을 받았다.", "{g}에서 온 손님들이 축제를 보고 돌아갔다.", "이 글은 정말 지루하고 최악이었다.", "오늘은 최악의 하루였지만 내일은 나아지겠지.", "그 일은 운동의 시발점이 되었다.", "병신년에 일어난 일을 기록하였다.", "새끼손가락을 다쳐서 병원에 갔다.", "아직 보지 못한 영화가 많다.", "개나리가 피고 강아지가 뛰논다.", "사자는 새끼를 데리고 다닌다.", "금속 두 개를 결합한다.", "무료충전 안내와 계좌번호 양식은 창구에 있다.", "전화번호를 바꾸려면 창구에 물어보세요.", "벗은 신발을 가지런히 놓아 주세요.", "돼지는 하루에 먹이를 두 번 먹는다.",
     "the moderators deleted a reply that called a member a \"\" and closed the thread.", "a man was fined for shouting \"\" at a driver.", "the word {p} is on the list of our filter, please avoid it.", "the word {h} is a slur that the filter removes.", "posts with the word {a} are removed by the filter.", "the lesson explains why hate speech is harmful.", "this leaflet informs pupils about sexual health and consent.", "the {g} community thanked its neighbours for their help.", "the {g} family opened a bakery in our street.", "visitors from the {g} district praised the festival.", "this was the worst page I have read and a boring evening.", "I did not like the film, it was dull and too long.", "the shell of the cart passed the assessment in class.", "hello, the title of this class is classic and the grass is green.", "she bought scrap metal and a naked light bulb.", "Scunthorpe and Essex are places in England.", "ask at the desk about the casino bonus and the home address form.", "the pig eats twice a day and sleeps in the barn.", "he broke his tooth when he fell down the stairs.", "the mother of the boy was proud of him.", "the streets were cleaned before the feast.", "the soldiers burnt the houses in the old war.", "patients undress before the lungs are checked.",
