@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.functions import markup, words
+from moraine.functions import words
 from moraine.operators import search as S
-from moraine.operators.index import field_words
+from moraine.operators.stored import Index
 
 FEATURES = (
     "bm25_title", "bm25_content", "bm25_snippet", "coverage_title", "coverage_snippet", "exact_title", "tag_overlap",
@@ -28,25 +28,24 @@ def overlap(query_words: Column, tags: Column) -> Column:
     return F.size(F.filter(query_words, lambda w: F.array_contains(tag_words, w)))
 
 
-def features(pairs: DataFrame, docs: DataFrame, queries: dict[int, str], terms: S.Terms, now: Column) -> DataFrame:
-    """The features of the pairs (qid, id); pairs are the best of each query, so they are broadcast."""
-    spark = docs.sparkSession
+def features(pairs: DataFrame, index: Index, queries: dict[int, str], terms: S.Terms, now: Column) -> DataFrame:
+    """The features of the pairs (qid, id) from an index with the fields title, content and snippet; pairs are the best of each query, so they are broadcast."""
+    spark = pairs.sparkSession
     title, source = F.col("title"), F.col("source_text")
-    docs = docs.withColumn("source_text", markup.snippet_source(F.col("content")))
     asked = F.broadcast(spark.createDataFrame([(q, t, S.words_of_query(t)) for q, t in queries.items()], "qid int, query string, query_words array<string>"))
-    out = docs.join(F.broadcast(pairs), "id").join(asked, "qid")
-    fields = (("bm25_title", words.tokens(title)), ("bm25_content", words.tokens(F.col("content"))), ("bm25_snippet", words.tokens(source)))
-    for name, of in fields:
-        out = out.join(S.bm25(field_words(docs, of), terms).withColumnRenamed("score", name), ["qid", "id"], "left")
+    names = ("bm25_title", "bm25_content", "bm25_snippet")
+    pairs = F.broadcast(pairs)
+    scores = index.scored({n: [(n.split("_")[1], terms)] for n in names}).join(pairs, ["qid", "id"], "left_semi")
+    out = index.docs().join(pairs, "id").join(asked, "qid").join(scores, ["qid", "id"], "left")
     q = F.col("query_words")
     return out.select(
         "qid",
         "id",
-        *[F.round(F.coalesce(n, F.lit(0.0)), 6).alias(n) for n, _ in fields],
+        *[F.round(F.coalesce(n, F.lit(0.0)), 6).alias(n) for n in names],
         F.round(coverage(q, words.tokens(title)), 6).alias("coverage_title"),
         F.round(coverage(q, words.tokens(source)), 6).alias("coverage_snippet"),
         F.coalesce(F.contains(F.lower(title), F.lower("query")).cast("double"), F.lit(0.0)).alias("exact_title"),
-        overlap(q, markup.tags(F.col("content"))).cast("double").alias("tag_overlap"),
+        overlap(q, F.col("tags")).cast("double").alias("tag_overlap"),
         F.size(words.tokens(title)).cast("double").alias("title_length"),
         F.round(F.log1p(F.coalesce(F.length(source), F.lit(0))), 6).alias("content_length"),
         F.floor(S.age_days(F.col("created_at"), now)).cast("double").alias("freshness_days"),

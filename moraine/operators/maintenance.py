@@ -1,51 +1,10 @@
-"""The stored index: build, search, upsert, delete, report, versions with a pointer."""
+"""Tables under change: upsert, delete, report, versions with a pointer."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.functions.words import tokens
-from moraine.operators import search
-from moraine.operators.index import field_stats, field_words, postings
-
-FIELDS = {"title": 3.0, "content": 1.0}
-
-
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build(docs: DataFrame, path: str, buckets: int = 16, files: int = 8) -> None:
-    """Postings and statistics of title and content; documents with blank content are left out.
-
-    Postings lie in a folder for each bucket of terms and are sorted by term within. A term that a
-    third of all documents hold is spread over `files` files by document.
-    """
-    kept = docs.where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    words = {f: field_words(kept, tokens(F.col(f))) for f in FIELDS}
-    rows = [postings(w).withColumn("field", F.lit(f)) for f, w in words.items()]
-    stored = rows[0].unionByName(rows[1]).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    stored.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    stats = [field_stats(w).withColumn("field", F.lit(f)) for f, w in words.items()]
-    stats[0].unionByName(stats[1]).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def stored_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/postings")
-
-
-def search_stored(spark: SparkSession, path: str, terms: search.Terms, buckets: int = 16) -> DataFrame:
-    """qid, id, score over both fields from a stored index: only the buckets, and in them the row groups, of the terms are read."""
-    wanted = sorted({t for _, t, _ in terms})
-    numbers = spark.createDataFrame([(t,) for t in wanted], "term string").select(bucket_of(F.col("term"), buckets)).distinct().collect()
-    found = stored_postings(spark, path).where(F.col("bucket").isin([r[0] for r in numbers]) & F.col("term").isin(wanted))
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = spark.read.parquet(f"{path}/stats")
-    boosts = F.create_map(*[x for f, b in FIELDS.items() for x in (F.lit(f), F.lit(b))])
-    joined = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field").join(search.terms_frame(spark, terms), "term")
-    return joined.groupBy("qid", "id").agg(F.sum(search.weight() * F.element_at(boosts, F.col("field"))).alias("score"))
-
 
 def upserted(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """base with the changed rows in place of the old; a change with blank content leaves the old row."""
@@ -63,6 +22,29 @@ def report(asked: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
     return asked.select(key).distinct().join(there, key, "left").select(key, F.when(F.col("there"), "indexed").otherwise("not found").alias("state"))
 
 
+def move_pointer(spark: SparkSession, folder: str, version: int) -> None:
+    """Let the folder's pointer name a version; readers see the old one or the new one."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+    draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT.{version}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(str(version).encode())
+    out.close()
+    fs.delete(target, False)
+    fs.rename(draft, target)
+
+
+def pointer(spark: SparkSession, folder: str) -> int:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return int(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 class Snapshots:
     """Numbered versions of a table below one folder; a pointer names the one that new readers take."""
 
@@ -72,18 +54,10 @@ class Snapshots:
     def publish(self, df: DataFrame, version: int) -> None:
         """Write a version, then move the pointer; a failed write leaves readers on the old version."""
         df.write.mode("overwrite").parquet(f"{self.folder}/version={version}")
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT.{version}")
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        out = fs.create(draft, True)
-        out.write(str(version).encode())
-        out.close()
-        fs.delete(target, False)
-        fs.rename(draft, target)
+        move_pointer(self.spark, self.folder, version)
 
     def pinned(self) -> int:
-        return int(self.spark.read.text(f"{self.folder}/CURRENT").first()["value"])
+        return pointer(self.spark, self.folder)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/version={self.pinned() if version is None else version}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from moraine.operators.index import field_stats, hits
 
 K1, B = 1.2, 0.75
-#: Most terms of a batch; larger batches are searched in parts.
+#: Most terms that are sent to the tasks at once; larger batches are searched in parts.
 MOST_TERMS = 10_000
 Terms = list[tuple[int, str, float]]
 
@@ -40,8 +41,7 @@ def escape_query(text: str | None) -> str | None:
 
 
 def terms_frame(spark: SparkSession, terms: Terms) -> DataFrame:
-    if len(terms) > MOST_TERMS:
-        raise ValueError(f"a batch holds at most {MOST_TERMS} terms")
+    """The terms as a table; bm25 and the stored index ask for at most MOST_TERMS at once."""
     return F.broadcast(spark.createDataFrame(terms, "qid int, term string, boost double"))
 
 
@@ -54,6 +54,9 @@ def weight() -> Column:
 def bm25(words: DataFrame, terms: Terms) -> DataFrame:
     """qid, id, score of every document that holds a term."""
     spark = words.sparkSession
+    if len(terms) > MOST_TERMS:
+        parts = [bm25(words, terms[i : i + MOST_TERMS]) for i in range(0, len(terms), MOST_TERMS)]
+        return reduce(DataFrame.unionByName, parts).groupBy("qid", "id").agg(F.sum("score").alias("score"))
     found = hits(words, sorted({t for _, t, _ in terms}))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     # df has at most MOST_TERMS rows, the statistics one
@@ -61,11 +64,16 @@ def bm25(words: DataFrame, terms: Terms) -> DataFrame:
     return joined.groupBy("qid", "id").agg(F.sum(weight()).alias("score"))
 
 
+def best_of(text: Column, gram: Column, boost: float = 2.0, tie: float = 0.1) -> Column:
+    """The higher of two scores and a share of the lower; a missing one is 0."""
+    a, b = F.coalesce(text, F.lit(0.0)), F.coalesce(gram, F.lit(0.0)) * boost
+    return F.greatest(a, b) + tie * F.least(a, b)
+
+
 def dis_max(text: DataFrame, grams: DataFrame, boost: float = 2.0, tie: float = 0.1) -> DataFrame:
-    """qid, id, score: the higher of the two scores and a share of the lower."""
-    a, b = F.coalesce("text", F.lit(0.0)), F.coalesce("gram", F.lit(0.0)) * boost
+    """qid, id, score of documents that stand in either table."""
     both = text.withColumnRenamed("score", "text").join(grams.withColumnRenamed("score", "gram"), ["qid", "id"], "full")
-    return both.select("qid", "id", (F.greatest(a, b) + tie * F.least(a, b)).alias("score"))
+    return both.select("qid", "id", best_of(F.col("text"), F.col("gram"), boost, tie).alias("score"))
 
 
 def saturation(count: Column, weight: float, pivot: float) -> Column:

@@ -9,10 +9,11 @@ from moraine.functions import markup, words
 from moraine.operators import maintenance as M
 from moraine.operators import search
 from moraine.operators.numbering import numbered
+from moraine.operators.stored import Index
 from moraine.plans.changes import MESSAGES
 from moraine.plans.common import HEADS, POSTS, current_posts
 from moraine.plans.registry import Registry
-from moraine.plans.search import TEXT_SQL, WORD_TERMS, _top
+from moraine.plans.search import TEXT_SQL, TITLE_SQL, _docs as full_docs, _top, fields, stored, text_scores
 from moraine.sources import dumps
 from moraine.storage import fresh_path
 from moraine.streaming import cdc
@@ -133,17 +134,19 @@ def tag_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add("index_build", f"WITH {POSTS}, t AS (SELECT id, 'title' AS field, unnest({words.tokens_sql('title')}) AS term FROM p WHERE trim(coalesce(content, '')) <> '' UNION ALL SELECT id, 'content', unnest({words.tokens_sql('content')}) FROM p WHERE trim(coalesce(content, '')) <> '') SELECT field, count(DISTINCT (term, id)) AS postings, count(DISTINCT term) AS terms, count(*) AS occurrences FROM t GROUP BY field")
 def index_build(spark: SparkSession, folder: str) -> DataFrame:
-    path = fresh_path(spark, "index")
-    M.build(current_posts(spark, folder, "title", "content"), path)
-    return M.stored_postings(spark, path).groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
+    """All fields of the posts with content, written as they are for search."""
+    docs = full_docs(spark, folder).where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    index = Index(spark, fresh_path(spark, "index"), fields(), stored()).create(docs)
+    rows = index.postings(fields=["title", "content"])
+    return rows.groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
 
 
 @registry.add("search_stored_index", f"WITH {POSTS}, {TEXT_SQL}, {_top('tx', 10)} SELECT qid, id, score, place FROM top")
 def search_stored_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The batch of queries answered from the stored postings."""
-    path = fresh_path(spark, "index")
-    M.build(current_posts(spark, folder, "title", "content"), path)
-    return search.ranked(M.search_stored(spark, path, WORD_TERMS), 10)
+    """The batch of queries answered from an index that has just been built and compacted."""
+    title_and_content = {k: v for k, v in fields().items() if k in ("title", "content")}
+    built = Index(spark, fresh_path(spark, "index"), title_and_content).create(current_posts(spark, folder, "title", "content"))
+    return search.ranked(text_scores(built.compact(fresh_path(spark, "index"))), 10)
 
 
 @registry.add("index_upsert", f"WITH {POSTS} SELECT id, title, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'new text ' || id ELSE content END AS content FROM p UNION ALL SELECT id + 10000000, title, 'added' FROM p WHERE id % 100 = 0")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from moraine.functions import markup, words
 from moraine.operators import learning as M
 from moraine.operators import search as S
+from moraine.operators.stored import Index
 from moraine.plans.common import POSTS, as_of, current_posts
 from moraine.plans.logs import CLICKS, GRADE_SQL, clicks
 from moraine.plans.registry import Registry
 from moraine.storage import materialize
 from moraine.operators.logs import dwell_grade
-from moraine.plans.search import AGE_SQL, QUERIES, QUERY_VALUES, WORD_TERMS, _bm25, _docs, _rank_sql, _top, full_rank
+from moraine.plans.search import AGE_SQL, QUERIES, QUERY_VALUES, WORD_TERMS, _bm25, _rank_sql, _top, full_rank, index_of
 
 registry = Registry()
 SOURCE_SQL = markup.snippet_source_sql("content")
@@ -24,14 +25,14 @@ SOURCE_WORDS = words.tokens_sql(SOURCE_SQL)
 WINDOW = 200
 
 
-def candidates(spark: SparkSession, folder: str, most: int = 20) -> tuple[DataFrame, DataFrame]:
-    docs = _docs(spark, folder)
-    return docs, S.ranked(full_rank(docs), most).select("qid", "id", "place")
+def candidates(spark: SparkSession, folder: str, most: int = 20) -> tuple[Index, DataFrame]:
+    index = index_of(spark, folder)
+    return index, S.ranked(full_rank(index), most).select("qid", "id", "place")
 
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
-    docs, pairs = candidates(spark, folder)
-    return M.features(pairs.select("qid", "id"), docs, QUERIES, WORD_TERMS, as_of())
+    index, pairs = candidates(spark, folder)
+    return M.features(materialize(pairs.select("qid", "id"), "pairs"), index, QUERIES, WORD_TERMS, as_of())
 
 
 QUERY_WORDS = "regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+')"
@@ -114,12 +115,13 @@ def ltr_judge_average(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """The first-pass window of every query with features, place and title relevance."""
-    docs, pairs = candidates(spark, folder, WINDOW)
+    index, pairs = candidates(spark, folder, WINDOW)
+    pairs = materialize(pairs, "pairs")
     asked = F.broadcast(spark.createDataFrame([(q, t.split()) for q, t in QUERIES.items()], "qid int, asked array<string>"))
     share = F.size(F.filter("asked", lambda w: F.contains("title", w))) / F.size("asked")
     rel = F.coalesce(F.round(share * 3), F.lit(0.0)).alias("rel")
-    rows = M.features(pairs.select("qid", "id"), docs, QUERIES, WORD_TERMS, as_of())
-    rows = rows.join(docs.select("id", "title").join(F.broadcast(pairs), "id").join(asked, "qid").select("qid", "id", "place", rel), ["qid", "id"])
+    rows = M.features(pairs.select("qid", "id"), index, QUERIES, WORD_TERMS, as_of())
+    rows = rows.join(index.docs().select("id", "title").join(F.broadcast(pairs), "id").join(asked, "qid").select("qid", "id", "place", rel), ["qid", "id"])
     return materialize(rows, "features")  # the trainer passes over its rows again and again
 
 

@@ -11,7 +11,7 @@ from moraine.functions import markup
 from moraine.plans.common import HEADS, POSTS, current_posts
 from moraine.plans.logs import BANNED, IS_BANNED, LOGS, banned, logs
 from moraine.plans.registry import Registry
-from moraine.plans.search import QUERIES, _rank_sql, _top, full_rank, _docs
+from moraine.plans.search import QUERIES, _rank_sql, _top, full_rank, index_of
 from moraine.operators import search as S
 from moraine.tables import table
 
@@ -113,9 +113,9 @@ CONTEXT = "'[' || place || '] ' || coalesce(title, '') || chr(10) || 'id: ' || i
 @registry.add("context_block", f"WITH {POSTS}, {_rank_sql()}, {_top('fr', 5)}, r AS (SELECT t.qid, t.place, t.id, p.title, {markup.snippet_source_sql('p.content')} AS source FROM top t JOIN p USING (id)) SELECT qid, string_agg({CONTEXT}, chr(10) || chr(10) ORDER BY place) AS context FROM r GROUP BY qid")
 def context_block(spark: SparkSession, folder: str) -> DataFrame:
     """The five best posts of every query as numbered blocks."""
-    docs = _docs(spark, folder)
-    top = F.broadcast(S.ranked(full_rank(docs), 5).select("qid", "place", "id"))
-    rows = docs.select("id", "title", markup.snippet_source(F.col("content")).alias("source")).join(top, "id")
+    index = index_of(spark, folder)
+    top = F.broadcast(S.ranked(full_rank(index), 5).select("qid", "place", "id"))
+    rows = index.docs().select("id", "title", F.col("source_text").alias("source")).join(top, "id")
     block = F.concat(F.lit("["), "place", F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\nid: "), F.col("id").cast("string"), F.lit("\n"), F.coalesce("source", F.lit("")))
     blocks = F.array_sort(F.collect_list(F.struct("place", block.alias("text"))))  # five at most
     return rows.groupBy("qid").agg(F.array_join(F.transform(blocks, lambda x: x["text"]), "\n\n").alias("context"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from moraine.functions import korean, markup, words
 from moraine.operators import search as S
 from moraine.operators.index import field_stats, field_words, postings
+from moraine.operators.stored import Index, standing
 from moraine.plans.common import AS_OF, HEADS, POSTS, as_of, current_posts
 from moraine.plans.registry import Registry
+from moraine.storage import file_stamp, fresh_path, materialize
 from moraine.tables import table
 
 registry = Registry()
@@ -67,28 +69,56 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return current_posts(spark, folder, "title", "content", "category_id", "view_count", "like_count", "blinded", "author_id", "created_at")
 
 
-def title_scores(docs: DataFrame, boost: float = 1.0) -> DataFrame:
-    return S.bm25(field_words(docs, title_words()), [(q, t, boost) for q, t, _ in WORD_TERMS])
+def fields() -> dict[str, Column]:
+    return {"title": title_words(), "content": content_words(), "gram": title_grams(), "snippet": words.tokens(markup.snippet_source(F.col("content")))}
 
 
-def text_scores(docs: DataFrame) -> DataFrame:
+def stored() -> list[Column]:
+    content = F.col("content")
+    plain = [F.col(c) for c in ("title", "category_id", "view_count", "like_count", "blinded", "author_id", "created_at")]
+    return [*plain, markup.snippet(content).alias("snippet"), markup.snippet_source(content).alias("source_text"), markup.tags(content).alias("tags")]
+
+
+def index_of(spark: SparkSession, folder: str) -> Index:
+    """The standing index of the posts of a folder: built by the first query that needs it, again if the table has changed."""
+    source = f"{folder}/posts.parquet"
+
+    def make() -> Index:
+        return Index(spark, fresh_path(spark, "search-index"), fields(), stored()).create(_docs(spark, folder))
+
+    return standing(spark, (source, file_stamp(spark, source)), make)
+
+
+def boosted(boost: float) -> S.Terms:
+    return [(q, t, boost) for q, t, _ in WORD_TERMS]
+
+
+def title_scores(index: Index) -> DataFrame:
+    return index.scored({"score": [("title", WORD_TERMS)]})
+
+
+TEXT_FIELDS = [("title", boosted(3.0)), ("content", WORD_TERMS)]
+
+
+def text_scores(index: Index) -> DataFrame:
     """Words of the query in title, three times, and content."""
-    parts = title_scores(docs, 3.0).unionByName(S.bm25(field_words(docs, content_words()), WORD_TERMS))
-    return parts.groupBy("qid", "id").agg(F.sum("score").alias("score"))
+    return index.scored({"score": TEXT_FIELDS})
 
 
-def matched(docs: DataFrame) -> DataFrame:
-    return S.dis_max(text_scores(docs), S.bm25(field_words(docs, title_grams()), GRAM_TERMS))
+def matched(index: Index) -> DataFrame:
+    """The higher of the scores by words and by n-grams of the title, and a share of the lower, from one pass."""
+    both = index.scored({"text": TEXT_FIELDS, "gram": [("gram", GRAM_TERMS)]})
+    return both.select("qid", "id", S.best_of(F.col("text"), F.col("gram")).alias("score"))
 
 
-def full_rank(docs: DataFrame, category: int | None = None) -> DataFrame:
-    """Matches that are not blinded, by relevance, popularity and recency; filters come before scoring is joined."""
-    kept = docs.where(~F.coalesce("blinded", F.lit(False)))
+def full_rank(index: Index, category: int | None = None) -> DataFrame:
+    """Matches that are not blinded, by relevance, popularity and recency."""
+    kept = index.docs().where(~F.coalesce("blinded", F.lit(False)))
     if category is not None:
         kept = kept.where(F.col("category_id") == category)
     age = S.age_days(F.col("created_at"), as_of())
     extra = S.saturation(F.col("view_count"), 3.0, 1000.0) + S.saturation(F.col("like_count"), 2.0, 100.0) + S.recency(age)
-    return matched(docs).join(kept.select("id", "category_id", extra.alias("extra")), "id").select("qid", "id", "category_id", (F.col("score") + F.col("extra")).alias("score"))
+    return matched(index).join(kept.select("id", "category_id", extra.alias("extra")), "id").select("qid", "id", "category_id", (F.col("score") + F.col("extra")).alias("score"))
 
 
 TEXT_SQL = f"""{_values('w', WORD_TERMS)}, {_bm25('bt', TITLE_SQL, 'w')}, {_bm25('bc', CONTENT_SQL, 'w')},
@@ -107,44 +137,44 @@ def _rank_sql(where: str = "") -> str:
 
 @registry.add("search_bm25", f"WITH {POSTS}, {_values('w', WORD_TERMS)}, {_bm25('bt', TITLE_SQL, 'w')}, {_top('bt', 10)} SELECT qid, id, score, place FROM top")
 def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(title_scores(current_posts(spark, folder, "title")), 10)
+    return S.ranked(title_scores(index_of(spark, folder)), 10)
 
 
 @registry.add("search_multifield", f"WITH {POSTS}, {TEXT_SQL}, {_top('tx', 10)} SELECT qid, id, score, place FROM top")
 def search_multifield(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(text_scores(current_posts(spark, folder, "title", "content")), 10)
+    return S.ranked(text_scores(index_of(spark, folder)), 10)
 
 
 @registry.add("search_ngram", f"WITH {POSTS}, {_values('g', GRAM_TERMS)}, {_bm25('bg', GRAMS_SQL, 'g')}, {_top('bg', 10)} SELECT qid, id, score, place FROM top")
 def search_ngram(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(S.bm25(field_words(current_posts(spark, folder, "title"), title_grams()), GRAM_TERMS), 10)
+    return S.ranked(index_of(spark, folder).scored({"score": [("gram", GRAM_TERMS)]}), 10)
 
 
 @registry.add("search_dismax", f"WITH {POSTS}, {MATCH_SQL}, {_top('mt', 10)} SELECT qid, id, score, place FROM top")
 def search_dismax(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(matched(current_posts(spark, folder, "title", "content")), 10)
+    return S.ranked(matched(index_of(spark, folder)), 10)
 
 
 @registry.add("search_full_rank", f"WITH {POSTS}, {_rank_sql()}, {_top('fr', 20)} SELECT qid, id, category_id, score, place FROM top")
 def search_full_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(full_rank(_docs(spark, folder)), 20)
+    return S.ranked(full_rank(index_of(spark, folder)), 20)
 
 
 @registry.add("search_category_filter", f"WITH {POSTS}, {_rank_sql(' AND category_id = 10')}, {_top('fr', 20)} SELECT qid, id, category_id, score, place FROM top")
 def search_category_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return S.ranked(full_rank(_docs(spark, folder), 10), 20)
+    return S.ranked(full_rank(index_of(spark, folder), 10), 20)
 
 
 @registry.add("search_exclude_blinded", f"WITH {POSTS}, {TEXT_SQL}, ok AS (SELECT tx.* FROM tx JOIN p USING (id) WHERE NOT coalesce(blinded, false)), {_top('ok', 10)} SELECT qid, id, score, place FROM top")
 def search_exclude_blinded(spark: SparkSession, folder: str) -> DataFrame:
-    docs = current_posts(spark, folder, "title", "content", "blinded")
-    seen = docs.where(~F.coalesce("blinded", F.lit(False))).select("id")
-    return S.ranked(text_scores(docs).join(seen, "id"), 10)
+    index = index_of(spark, folder)
+    seen = index.docs().where(~F.coalesce("blinded", F.lit(False))).select("id")
+    return S.ranked(text_scores(index).join(seen, "id"), 10)
 
 
 @registry.add("search_page", f"WITH {POSTS}, {_rank_sql()}, {_top('fr', 21)} SELECT qid, id, category_id, score, place, max(place) OVER (PARTITION BY qid) > 20 AS has_next FROM top QUALIFY place BETWEEN 11 AND 20")
 def search_page(spark: SparkSession, folder: str) -> DataFrame:
-    return S.page(full_rank(_docs(spark, folder)), 10, 10)
+    return S.page(full_rank(index_of(spark, folder)), 10, 10)
 
 
 FACETS = f"WITH {POSTS}, {_rank_sql()}, f AS (SELECT qid, coalesce(c.name, '기타') AS category, count(*) AS hits FROM fr LEFT JOIN categories c ON fr.category_id = c.id WHERE fr.category_id IS NOT NULL GROUP BY ALL)"
@@ -152,11 +182,19 @@ FACETS = f"WITH {POSTS}, {_rank_sql()}, f AS (SELECT qid, coalesce(c.name, '기
 
 @registry.add("search_facets", f"{FACETS} SELECT qid, category, hits FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, category) <= 30")
 def search_facets(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "categories").select(F.col("id").alias("category_id"), "name")
-    counted = full_rank(_docs(spark, folder)).where("category_id is not null").groupBy("qid", "category_id").agg(F.count("*").alias("n"))
+    return facets(full_rank(index_of(spark, folder)), category_names(spark, folder))
+
+
+def category_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "categories").select(F.col("id").alias("category_id"), "name")
+
+
+def facets(scored: DataFrame, names: DataFrame, most: int = 30) -> DataFrame:
+    """The categories with the most hits of every query."""
+    counted = scored.where("category_id is not null").groupBy("qid", "category_id").agg(F.count("*").alias("n"))
     named = counted.join(names, "category_id", "left").groupBy("qid", F.coalesce("name", F.lit("기타")).alias("category")).agg(F.sum("n").alias("hits"))
     order = Window.partitionBy("qid").orderBy(F.col("hits").desc(), "category")
-    return named.withColumn("place", F.row_number().over(order)).where("place <= 30").drop("place")
+    return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
 @registry.add(
@@ -164,14 +202,33 @@ def search_facets(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {POSTS}, {_rank_sql()}, {_top('fr', 10)} SELECT t.qid, t.place, t.id, p.title, u.nickname, coalesce(c.name, '기타') AS category, {markup.snippet_sql('p.content')} AS snippet, p.view_count FROM top t JOIN p USING (id) LEFT JOIN users u ON p.author_id = u.id LEFT JOIN categories c ON p.category_id = c.id",
 )
 def search_hydrated(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder)
+    index = index_of(spark, folder)
     users = table(spark, folder, "users").select(F.col("id").alias("author_id"), "nickname")
-    names = table(spark, folder, "categories").select(F.col("id").alias("category_id"), "name")
     # ten rows a query are left by now
-    top = F.broadcast(S.ranked(full_rank(docs), 10).select("qid", "place", "id"))
-    rows = docs.select("id", "title", "content", "author_id", "category_id", "view_count").join(top, "id")
-    shown = rows.join(users, "author_id", "left").join(names, "category_id", "left")
-    return shown.select("qid", "place", "id", "title", "nickname", F.coalesce("name", F.lit("기타")).alias("category"), markup.snippet(F.col("content")).alias("snippet"), "view_count")
+    top = F.broadcast(S.ranked(full_rank(index), 10).select("qid", "place", "id"))
+    rows = index.docs().select("id", "title", "snippet", "author_id", "category_id", "view_count").join(top, "id")
+    shown = rows.join(users, "author_id", "left").join(category_names(spark, folder), "category_id", "left")
+    return shown.select("qid", "place", "id", "title", "nickname", F.coalesce("name", F.lit("기타")).alias("category"), "snippet", "view_count")
+
+
+@registry.add(
+    "search_response",
+    f"""{FACETS}, {_top('fr', 11)}, hits AS (SELECT t.qid, 'hit' AS part, t.place, t.id, p.title AS label, {markup.snippet_sql('p.content')} AS snippet, CAST(NULL AS BIGINT) AS hits, (SELECT max(place) > 10 FROM top u WHERE u.qid = t.qid) AS has_next FROM top t JOIN p USING (id) WHERE t.place <= 10),
+fc AS (SELECT qid, 'facet' AS part, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, category) AS place, CAST(NULL AS BIGINT) AS id, category AS label, CAST(NULL AS VARCHAR) AS snippet, hits, CAST(NULL AS BOOLEAN) AS has_next FROM f QUALIFY place <= 30)
+SELECT qid, part, CAST(place AS INT) AS place, id, label, snippet, hits, has_next FROM hits UNION ALL SELECT qid, part, CAST(place AS INT), id, label, snippet, hits, has_next FROM fc""",
+)
+def search_response(spark: SparkSession, folder: str) -> DataFrame:
+    """What one search answers: the first page with snippets and whether another follows, and the facets of all hits, from one scoring."""
+    index = index_of(spark, folder)
+    scored = materialize(full_rank(index), "hits")
+    top = F.broadcast(S.page(scored, 0, 10).select("qid", "place", "id", "has_next"))  # ten rows a query
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = index.docs().select("id", F.col("title").alias("label"), "snippet").join(top, "id")
+    rows = rows.select("qid", F.lit("hit").alias("part"), "place", "id", "label", "snippet", none("bigint", "hits"), "has_next")
+    order = Window.partitionBy("qid").orderBy(F.col("hits").desc(), "category")
+    counts = facets(scored, category_names(spark, folder)).withColumn("place", F.row_number().over(order))
+    counts = counts.select("qid", F.lit("facet").alias("part"), "place", none("bigint", "id"), F.col("category").alias("label"), none("string", "snippet"), "hits", none("boolean", "has_next"))
+    return rows.unionByName(counts)
 
 
 PHRASES = ((1, "database", "index"), (2, "interest", "rate"), (3, "보스", "단계"), (4, "mountain", "range"))
@@ -225,11 +282,11 @@ RELEVANT = "CAST(len(list_filter(string_split(q, ' '), lambda w: contains(title,
 
 def _judged(spark: SparkSession, folder: str, scored, most: int) -> DataFrame:
     queries = F.broadcast(spark.createDataFrame(list(QUERIES.items()), "qid int, q string"))
-    docs = _docs(spark, folder)
-    top = F.broadcast(S.ranked(scored(docs), most).select("qid", "id", "place"))
+    index = index_of(spark, folder)
+    top = F.broadcast(S.ranked(scored(index), most).select("qid", "id", "place"))
     asked = F.split("q", " ")
     share = F.size(F.filter(asked, lambda w: F.contains("title", w)))
-    return docs.select("id", "title").join(top, "id").join(queries, "qid").select("qid", "id", "place", F.coalesce((share >= F.ceil(F.size(asked) / 2)).cast("int"), F.lit(0)).alias("rel"))
+    return index.docs().select("id", "title").join(top, "id").join(queries, "qid").select("qid", "id", "place", F.coalesce((share >= F.ceil(F.size(asked) / 2)).cast("int"), F.lit(0)).alias("rel"))
 
 
 def _judged_sql(source: str, scored: str, most: int) -> str:
@@ -289,7 +346,7 @@ def search_synonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Content scored for the words of the query and, with their weights, their synonyms."""
     expanded = synonym_expand(spark, folder).groupBy("qid", "term").agg(F.max("boost").alias("boost"))
     terms = [tuple(r) for r in expanded.collect()]  # four a word of the query at most
-    return S.ranked(S.bm25(field_words(current_posts(spark, folder, "content"), content_words()), terms), 10)
+    return S.ranked(index_of(spark, folder).scored({"score": [("content", terms)]}), 10)
 
 
 MISSPELT = ("databse", "orchesta", "comipler", "galaxi", "dinasty", "goalkeper", "notes", "Recipy")

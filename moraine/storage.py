@@ -29,6 +29,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def in_use(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def file_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of change of a table's file or folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength(), fs.getFileStatus(target).getModificationTime()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df once to the shared folder and read it back.
 
