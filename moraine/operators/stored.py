@@ -38,8 +38,8 @@ FILE_BYTES = 32 << 20
 
 
 def spread(source_bytes: int) -> int:
-    """Buckets of terms, and files in each, for a source of this size."""
-    return max(2, math.ceil(math.sqrt(source_bytes / FILE_BYTES)))
+    """Buckets of terms for a source of this size; each of them has half as many files, four at least."""
+    return max(4, math.ceil(math.sqrt(2 * source_bytes / FILE_BYTES)))
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -63,25 +63,31 @@ class Index:
         self.spark, self.path, self.fields, self.stored_columns = spark, path, dict(fields), list(stored or [])
 
     def _write(self, docs: DataFrame, seg: int, buckets: int, files: int) -> None:
-        words = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), w.alias("ws")) for f, w in self.fields.items()])).alias("f"))
-        each = words.select("id", "f.field", F.size("f.ws").alias("dl"), F.explode("f.ws").alias("term"))
-        placed = each.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(files)))
+        """Documents with their words in order, analysed once, then the postings from what is written."""
+        named = docs.select("id", *[w.alias(f"words_{f}") for f, w in self.fields.items()], *self.stored_columns)
+        counted = {f"words_{f}": F.struct(F.size(f"words_{f}").alias("n"), F.col(f"words_{f}").alias("ws")) for f in self.fields}
+        named.withColumns(counted).write.mode("overwrite").parquet(f"{self.path}/docs/seg={seg}")
+        written = self.spark.read.parquet(f"{self.path}/docs/seg={seg}")
+        self._write_postings(written, f"{self.path}/postings/seg={seg}", buckets, files)
+
+    def _write_postings(self, docs: DataFrame, path: str, buckets: int, files: int) -> None:
+        each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"words_{f}.n").alias("dl"), F.col(f"words_{f}.ws").alias("ws")) for f in self.fields])
+        rows = docs.select("id", F.explode(each).alias("f")).select("id", "f.field", "f.dl", F.explode("f.ws").alias("term"))
+        placed = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(files)))
         # one shuffle: the count finds its groups where the files are to be
-        counted = placed.repartition("bucket", "part").groupBy("bucket", "part", "field", "term", "id", "dl").agg(F.count("*").alias("tf"))
-        rows = counted.sortWithinPartitions("bucket", "part", "field", "term", "id").select("field", "term", "id", "dl", "tf", "bucket")
-        rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/seg={seg}")
-        lengths = [F.size(w).alias(f"len_{f}") for f, w in self.fields.items()]
-        docs.select("id", *lengths, *self.stored_columns).write.mode("overwrite").parquet(f"{self.path}/docs/seg={seg}")
+        counted = placed.repartition(buckets * files, "bucket", "part").groupBy("bucket", "part", "field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+        sorted_rows = counted.sortWithinPartitions("bucket", "part", "field", "term", "id").select("field", "term", "id", "dl", "tf", "bucket")
+        sorted_rows.write.partitionBy("bucket").mode("overwrite").parquet(path)
 
     def _sums(self, docs: DataFrame, sign: int) -> DataFrame:
         """For each field the documents that have it and their words, with a sign."""
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"len_{f}").alias("dl")) for f in self.fields])).alias("x")
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"words_{f}.n").alias("dl")) for f in self.fields])).alias("x")
         return docs.select(pairs).where("x.dl > 0").groupBy("x.field").agg((sign * F.count("*")).alias("n"), (sign * F.sum("x.dl")).alias("total"))
 
     def create(self, docs: DataFrame, size: int | None = None) -> Index:
         """Write the first segment; size: bytes of the source, if not those of the files that docs reads."""
         spread_over = spread(source_bytes(docs) if size is None else size)
-        self._write(docs, 0, spread_over, spread_over)
+        self._write(docs, 0, spread_over, max(4, spread_over // 2))
         self._sums(self.spark.read.parquet(f"{self.path}/docs/seg=0"), 1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/seg=0")
         self.spark.createDataFrame([], "id BIGINT").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/dead/seg=0")
         self.spark.createDataFrame([(spread_over,)], "buckets INT").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/layout")
@@ -160,10 +166,8 @@ class Index:
         """What counts now as an index of one segment elsewhere; readers move when they open it."""
         fresh, version = Index(self.spark, path, self.fields, self.stored_columns), self.version()
         buckets = self.buckets()
-        self.postings(version).withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).sortWithinPartitions("bucket", "field", "term", "id").select(
-            "field", "term", "id", "dl", "tf", "bucket"
-        ).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/seg=0")
         self.docs(version).write.mode("overwrite").parquet(f"{path}/docs/seg=0")
+        fresh._write_postings(self.spark.read.parquet(f"{path}/docs/seg=0"), f"{path}/postings/seg=0", buckets, max(4, buckets // 2))
         self._sums(self.spark.read.parquet(f"{path}/docs/seg=0"), 1).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/seg=0")
         self.spark.createDataFrame([], "id BIGINT").coalesce(1).write.mode("overwrite").parquet(f"{path}/dead/seg=0")
         self.spark.createDataFrame([(buckets,)], "buckets INT").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")

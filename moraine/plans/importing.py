@@ -13,7 +13,7 @@ from moraine.operators.stored import Index
 from moraine.plans.changes import MESSAGES
 from moraine.plans.common import HEADS, POSTS, current_posts
 from moraine.plans.registry import Registry
-from moraine.plans.search import TEXT_SQL, TITLE_SQL, _docs as full_docs, _top, fields, stored, text_scores
+from moraine.plans.search import TEXT_SQL, TITLE_SQL, _docs as full_docs, _top, fields, sourced, stored, text_scores
 from moraine.sources import dumps
 from moraine.storage import fresh_path
 from moraine.streaming import cdc
@@ -136,7 +136,7 @@ def tag_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 def index_build(spark: SparkSession, folder: str) -> DataFrame:
     """All fields of the posts with content, written as they are for search."""
     docs = full_docs(spark, folder).where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    index = Index(spark, fresh_path(spark, "index"), fields(), stored()).create(docs)
+    index = Index(spark, fresh_path(spark, "index"), fields(), stored()).create(sourced(docs))
     rows = index.postings(fields=["title", "content"])
     return rows.groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
 
@@ -159,6 +159,36 @@ def index_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return M.upserted(base, changed.unionByName(added))
 
 
+FED = f"""d AS (SELECT post_id AS id, json_extract_string(st.image, '$.title') AS title, json_extract_string(st.image, '$.content') AS content FROM s WHERE NOT st.deleted),
+t AS (SELECT id, 'title' AS field, unnest({words.tokens_sql('title')}) AS term FROM d UNION ALL SELECT id, 'content', unnest({words.tokens_sql('content')}) FROM d)"""
+
+
+def fed_index(spark: SparkSession, folder: str, batches: int = 3) -> Index:
+    """An index that starts empty and follows the change feed, one segment a micro-batch."""
+    only = {k: v for k, v in fields().items() if k in ("title", "content")}
+    docs = "id BIGINT, title STRING, content STRING"
+    index = Index(spark, fresh_path(spark, "fed-index"), only).create(spark.createDataFrame([], docs), 0)
+
+    def follow(states: DataFrame, batch: int) -> None:
+        there = states.where("not deleted").select(F.from_json("payload", docs).alias("d")).select("d.*")
+        index.apply(there, states.where("deleted").select(F.col("post_id").alias("id")), batch + 1)
+
+    cdc.ChangeTable(spark, fresh_path(spark, "changes")).apply(cdc.pieces(spark, folder, batches), follow)
+    return index
+
+
+@registry.add("index_feed_terms", f"{MESSAGES.rstrip()}, {FED} SELECT field, term, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY ALL")
+def index_feed_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and occurrences of every term in an index that has followed the feed through several micro-batches."""
+    return fed_index(spark, folder).postings().groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@registry.add("index_feed_stats", f"{MESSAGES.rstrip()}, {FED}, l AS (SELECT field, id, count(*) AS dl FROM t GROUP BY ALL) SELECT field, count(*) AS n, round(avg(dl), 6) AS avgdl FROM l GROUP BY field")
+def index_feed_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that the segments of such an index have added up."""
+    return fed_index(spark, folder).stats().select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @registry.add("index_delete", f"WITH {HEADS} SELECT id, title FROM p WHERE id NOT IN (SELECT post_id FROM click_logs WHERE click_position = 0)")
 def index_delete(spark: SparkSession, folder: str) -> DataFrame:
     gone = table(spark, folder, "click_logs").where("click_position = 0").select(F.col("post_id").alias("id"))

@@ -69,14 +69,19 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return current_posts(spark, folder, "title", "content", "category_id", "view_count", "like_count", "blinded", "author_id", "created_at")
 
 
+def sourced(docs: DataFrame) -> DataFrame:
+    """Documents as the index takes them: with the text without markup, taken out once."""
+    return docs.withColumn("source_text", markup.snippet_source(F.col("content")))
+
+
 def fields() -> dict[str, Column]:
-    return {"title": title_words(), "content": content_words(), "gram": title_grams(), "snippet": words.tokens(markup.snippet_source(F.col("content")))}
+    return {"title": title_words(), "content": content_words(), "gram": title_grams(), "snippet": words.tokens(F.col("source_text"))}
 
 
 def stored() -> list[Column]:
     content = F.col("content")
     plain = [F.col(c) for c in ("title", "category_id", "view_count", "like_count", "blinded", "author_id", "created_at")]
-    return [*plain, markup.snippet(content).alias("snippet"), markup.snippet_source(content).alias("source_text"), markup.tags(content).alias("tags")]
+    return [*plain, markup.snippet(content).alias("snippet"), F.col("source_text"), markup.tags(content).alias("tags")]
 
 
 def index_of(spark: SparkSession, folder: str) -> Index:
@@ -84,7 +89,7 @@ def index_of(spark: SparkSession, folder: str) -> Index:
     source = f"{folder}/posts.parquet"
 
     def make() -> Index:
-        return Index(spark, fresh_path(spark, "search-index"), fields(), stored()).create(_docs(spark, folder))
+        return Index(spark, fresh_path(spark, "search-index"), fields(), stored()).create(sourced(_docs(spark, folder)))
 
     return standing(spark, (source, file_stamp(spark, source)), make)
 

@@ -23,6 +23,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,11 +98,16 @@ class ChangeTable:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder, self.out, self.letters = spark, folder, f"{folder}/versions", f"{folder}/letters"
 
-    def apply(self, feed: DataFrame) -> None:
-        """Run the streaming feed until what is available now has been applied."""
+    def apply(self, feed: DataFrame, then: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Run the streaming feed until what is available now has been applied.
+
+        then: called with what each batch has written, the state of the keys it touched, and the number of the batch.
+        """
 
         def publish(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(f"{self.out}/version={batch_id}")
+            if then is not None:
+                then(self.spark.read.schema(STATE).parquet(f"{self.out}/version={batch_id}"), batch_id)
 
         with _settings(self.spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
             (
@@ -154,6 +160,13 @@ def feed(spark: SparkSession, folder: str, max_bytes: int = 64 << 30) -> DataFra
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(f"{folder}/post_changes.parque[t]")
 
 
+def pieces(spark: SparkSession, folder: str, files: int) -> DataFrame:
+    """post_changes as a stream of as many micro-batches as files, with messages of one post in any of them."""
+    changes, path = spark.read.parquet(f"{folder}/post_changes.parquet"), fresh_path(spark, "feed")
+    changes.repartition(files, F.xxhash64("kafka_partition", "kafka_offset")).write.parquet(path)
+    return spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def replay(spark: SparkSession, folder: str) -> ChangeTable:
     """Apply the whole feed of a data folder to an empty table."""
     table = ChangeTable(spark, fresh_path(spark, "changes"))
