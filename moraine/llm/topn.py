@@ -6,15 +6,17 @@ are ranked exactly (score, then the tie columns) and each group takes what it st
 Equal scores never straddle a band, so what a band adds is final. Every band is a filter on
 the score that reaches the scan.
 
-Ranking keeps N rows of a group on each task before the shuffle (the engine's window group
-limit), so a group that holds a third of all rows sends at most N rows a task, even if all its
-scores are equal. Groups filled by the upper bands are the frequent ones, so the lowest band,
+Repeated rows are merged on the map side, whatever their number, before anything is ranked. Ranking
+keeps N rows of a group on each task before the shuffle (the engine's window group limit), so a group
+that holds a third of all rows sends at most N rows a task, even if all its scores are equal or all
+its rows are the same one. Groups filled by the upper bands are the frequent ones, so the lowest band,
 which holds most rows, loses most of its volume before ranking. The anti-join broadcasts the
 filled groups only if their written size is below spark.sql.autoBroadcastJoinThreshold.
 
 Defined results
 * null group or score: the row is left out; NaN is not defined for the score.
-* equal score and tie columns: the rows count once (a repeated delivery).
+* rows equal in group, score and the columns asked for count once (a repeated delivery); if only the tie
+  columns are equal, each of them counts and which comes first is open, so ties should tell rows apart.
 * fewer than n rows: the group comes out with all it has; an empty table gives an empty result.
 * further columns are ignored.
 """
@@ -55,11 +57,10 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[Column], n: int, col
             band = band.where(F.col(score) < upper)
         if have is not None:
             band = band.join(have.where(F.col("taken") >= n).select(group), group, "left_anti")
-        # a repeated delivery shares its rank, so it takes no place
-        ranked = band.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= n)
+        # a row delivered a million times is one row on each task before the shuffle
+        ranked = band.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
         if have is not None:
             ranked = ranked.join(have.where(F.col("taken") < n), group, "left").withColumn("place", F.col("place") + F.coalesce("taken", F.lit(0))).where(F.col("place") <= n).drop("taken")
-        ranked = ranked.dropDuplicates([group, "place"])
         if lower is not None:
             ranked = materialize(ranked, "band")
             counts = reduce(DataFrame.unionByName, [*picked, ranked]).groupBy(group).agg(F.count("*").alias("taken"))

@@ -45,3 +45,9 @@ def test_clashing_columns_are_ignored(spark):
     df = spark.createDataFrame([("a", 1, 0, 5, 9, 9)], "g string, s bigint, t int, id bigint, place int, taken int")
     got = top_n(df, "g", "s", [F.col("t"), F.col("id")], 1, ["t", "id"]).collect()
     assert [(r["g"], r["id"], r["place"]) for r in got] == [("a", 5, 1)]
+
+
+def test_one_row_delivered_very_often(spark):
+    """A third and more of all rows are one row: it is one row on each task before any shuffle."""
+    rows = [("hot", 9, 0, 1)] * 20_000 + [("hot", 8, 0, 2), ("hot", 8, 0, 3), ("cold", 1, 0, 9)]
+    assert set(run(spark, rows, 2)) == {("hot", 1, 1), ("hot", 2, 2), ("cold", 9, 1)}
