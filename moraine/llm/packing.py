@@ -9,8 +9,9 @@ dynamic programming over a bitset (bit s: the sum s can be reached), counts in b
 backtracked to the counts. The window is repeated as often as the remaining counts allow.
 
 Texts then get their container from their rank among the texts of their length. Ranks come from
-a count of each (length, salt) plus a row number within it, so a length that a third of the texts
-share is split over all salts. A text of more than `capacity` tokens fills whole containers of its
+a count of each (length, salt) plus a row number within it; a length has as many salts as its number
+of texts asks for, so one that a third of the texts share, as full pieces of long texts do, is split
+into parts of a fixed size. A text of more than `capacity` tokens fills whole containers of its
 own; only its remainder is packed with others.
 
 Defined results
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from moraine.llm.tokens import token_counter
 from moraine.storage import materialize
 
-SALTS = 64
+#: Texts of one length that are ranked in one part, on average.
+PART = 50_000
 
 
 @dataclass
@@ -115,11 +117,12 @@ def pack(docs: DataFrame, id_col: str, text: str, tokenizer: str, capacity: int
         sized.where("n_tokens > 0")
         .select(id_col, "n_tokens", F.explode(pieces).alias("piece"))
         .select(id_col, "piece.piece_no", "piece.token_start", F.least(F.col("n_tokens") - F.col("piece.token_start"), F.lit(capacity)).alias("n_tokens"))
-        .withColumn("salt", F.pmod(F.xxhash64(id_col, "piece_no"), F.lit(SALTS)).cast("int"))
     )
     items = materialize(items, "lengths")
-    cells = materialize(items.groupBy("n_tokens", "salt").agg(F.count("*").alias("cell")), "cells")
-    counts = {r["n_tokens"]: r["n"] for r in cells.groupBy("n_tokens").agg(F.sum("cell").alias("n")).collect()}  # at most capacity rows
+    counts = {r["n_tokens"]: r["n"] for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = F.broadcast(items.sparkSession.createDataFrame([(k, n // PART + 1) for k, n in counts.items()], "n_tokens BIGINT, salts BIGINT"))
+    items = items.join(salts, "n_tokens").withColumn("salt", F.pmod(F.xxhash64(id_col, "piece_no"), F.col("salts"))).drop("salts")
+    cells = items.groupBy("n_tokens", "salt").agg(F.count("*").alias("cell"))
     slots, _ = plan(counts, capacity)
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("offset", F.coalesce(F.sum("cell").over(before), F.lit(0))).drop("cell")

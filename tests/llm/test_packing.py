@@ -103,3 +103,19 @@ def test_same_vocabulary_counts_alike():
         pytest.skip("no tokenizer")
     text = "It's 12 o'clock; 한국어 텍스트와 <|endoftext|> marks."
     assert token_counter(f"{folder}/byte_bpe_50k.json")(text) == token_counter(f"{folder}/byte_bpe_50k.tiktoken")(text)
+
+
+def test_a_length_that_most_texts_share(spark, monkeypatch):
+    """Parts of a length are ranked apart; containers are filled as if they were one."""
+    from moraine.llm import packing
+    from moraine.llm.tokens import DEFAULT
+
+    monkeypatch.setattr(packing, "PART", 7)
+    df = spark.createDataFrame([(i, "a " * 5000 if i % 3 else "b c") for i in range(60)], "doc_id bigint, text string")
+    rows = packing.pack(df, "doc_id", "text", DEFAULT, 64).collect()
+    used = {}
+    for r in rows:
+        used[r["container_id"]] = used.get(r["container_id"], 0) + r["n_tokens"]
+    assert len({(r["doc_id"], r["piece_no"]) for r in rows}) == len(rows) and max(used.values()) <= 64
+    full = [r["container_id"] for r in rows if r["n_tokens"] == 64]
+    assert len(set(full)) == len(full) and sorted(used) == list(range(len(used)))
