@@ -4,7 +4,8 @@ Texts are compared without case, width, markup, punctuation and blanks. Windows
 an item are held against the document by Myers' distance on 64-bit words, for all windows of a batch
 at once. The item is found if the windows within the edit limit cover `share` of its text; a window
 in which the marks that tell items apart (numbers and words that few items use) differ is the same
-turn of phrase and doesn't count.
+turn of phrase and doesn't count. An item shorter than a window is one window of its own length, with a
+budget in proportion; what is missing to 64 bits matches anything and costs nothing.
 
 What is measured is chosen without loss. A window counts only with `marks` of its marks near the place
 where it ends, so an automaton over the marks of all items tells in one pass over a document which
@@ -15,11 +16,13 @@ windows are measured over the whole document. Windows without marks are only mea
 items without marks, against every document.
 
 The items are the stated query set: they go to the tasks in blocks of `block` items, each block one
-pass over the documents, so no task holds more than one block however many items there are.
+pass over the documents, so no task holds more than one block however many items there are. Bit masks
+are made for the windows that are measured at a time only.
 Nothing is shuffled but the pairs found.
 
 Defined results
-* null or empty text of a document: no row; null or empty text of an item, or one shorter than a window: never found.
+* null or empty text of a document: no row; null or empty text of an item: never found.
+* an item of fewer than rules.least letters is no passage but a turn of phrase: never found.
 * items with the same passage: each is found for itself.
 * a repeated document id: its pairs come out once; empty tables give an empty result.
 * whole texts are searched whatever their length; further columns are ignored.
@@ -41,6 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 64
+#: The code of a place that any character may take.
+ANY = np.iinfo(np.uint16).max
 TAGS = re.compile(r"<[^<>]{0,80}>")
 NOISE = re.compile(r"[\W_]+")
 WORDS = re.compile(r"\d+|[^\W\d_]+")
@@ -64,6 +69,7 @@ class Rules:
     share: float = 0.4
     stride: int = 16
     edits: int = 14
+    least: int = 16  # letters of an item that is a passage
     marks: float = 0.6  # of the marks in a window, what must agree; a shared name alone is too little
 
 
@@ -74,11 +80,12 @@ class Items:
     ids: list[int]
     texts: list[str]
     rules: Rules
-    pieces: list[list[str]] = field(default_factory=list)  # of every window, one more than the edits
     windows: list[list[int]] = field(default_factory=list)
     starts: np.ndarray = None  # of every window: its place in its item
     owner: np.ndarray = None
-    masks: np.ndarray = None  # of every window and character: the bits where it stands
+    sizes: np.ndarray = None
+    limits: np.ndarray = None  # of every window: the edits it is granted
+    codes: np.ndarray = None  # of every window: its characters, at the end of 64 places
     alphabet: dict[int, int] = field(default_factory=dict)
     marks: list[list[tuple[int, int, str]]] = field(default_factory=list)
     names: dict[str, int] = field(default_factory=dict)  # of all marks
@@ -97,12 +104,11 @@ class Items:
         starts, owner, windows = [], [], []
         for k, (form, text) in enumerate(zip(forms, own.texts)):
             mine = []
-            if len(text) >= WINDOW:
-                for at in sorted({*range(0, len(text) - WINDOW + 1, rules.stride), len(text) - WINDOW}):
-                    mine.append(len(windows))
-                    windows.append(text[at : at + WINDOW])
-                    starts.append(at)
-                    owner.append(k)
+            for at in sorted({*range(0, len(text) - WINDOW + 1, rules.stride), max(len(text) - WINDOW, 0)}) if len(text) >= rules.least else ():
+                mine.append(len(windows))
+                windows.append(text[at : at + WINDOW])
+                starts.append(at)
+                owner.append(k)
             own.windows.append(mine)
             at, marks = 0, []
             for m in WORDS.finditer(form):
@@ -113,12 +119,11 @@ class Items:
             own.marks.append(marks)
         own.alphabet = {ord(c): i for i, c in enumerate(sorted(set("".join(windows))))}
         own.starts, own.owner = np.array(starts, np.int64), np.array(owner, np.int64)
-        own.masks = np.zeros((len(windows), len(own.alphabet) + 1), np.uint64)
+        own.sizes = np.array([len(w) for w in windows], np.int64)
+        own.limits = rules.edits * own.sizes // WINDOW
+        own.codes = np.full((len(windows), WINDOW), ANY, np.uint16)
         for i, w in enumerate(windows):
-            for j, c in enumerate(w):
-                own.masks[i, own.alphabet[ord(c)]] |= np.uint64(1 << j)
-        cuts = [WINDOW * i // (rules.edits + 1) for i in range(rules.edits + 2)]
-        own.pieces = [[w[a:b] for a, b in zip(cuts, cuts[1:])] for w in windows]
+            own.codes[i, WINDOW - len(w) :] = [own.alphabet[ord(c)] for c in w]
         own.index()
         return own
 
@@ -134,6 +139,21 @@ class Items:
         self.unmarked = np.array([self.covered(k, [w for w in mine if not own[w]]) for k, mine in enumerate(self.windows)], np.int64)
         self.needed = np.array([min(2, len({m for *_, m in x})) for x in self.marks], np.int64)
 
+    def masks(self, windows: np.ndarray) -> np.ndarray:
+        """Of the given windows and every character, the unknown one last: the bits where it stands."""
+        out = np.zeros((len(windows), len(self.alphabet) + 1), np.uint64)
+        codes, rows = self.codes[windows], np.arange(len(windows))
+        for j in range(WINDOW):
+            bit, free = np.uint64(1 << j), codes[:, j] == ANY
+            out[free] |= bit
+            out[rows[~free], codes[~free, j]] |= bit
+        return out
+
+    def pieces(self, w: int) -> list[str]:
+        """A window cut into one piece more than the edits it is granted."""
+        text, size, parts = self.texts[self.owner[w]][self.starts[w] :][:WINDOW], int(self.sizes[w]), int(self.limits[w]) + 1
+        return [text[size * i // parts : size * (i + 1) // parts] for i in range(parts)]
+
     def covered(self, k: int, windows: Iterable[int]) -> int:
         mask = np.zeros(len(self.texts[k]), bool)
         for w in windows:
@@ -149,7 +169,7 @@ class Items:
 
 
 def distances(masks: np.ndarray, windows: np.ndarray, regions: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Least edit distance of each 64-character window to any stretch of its region, and where that stretch ends.
+    """Least edit distance of each window, by the number of its masks, to any stretch of its region, and where that stretch ends.
 
     regions holds character codes of the masks, one row for each window; stretches that end within the first `skip` don't count.
     """
@@ -200,11 +220,11 @@ def coded(items: Items, text: str) -> np.ndarray:
 
 def groups_with_piece(items: Items, text: str, w: int) -> set[int]:
     """Groups of ends in which a stretch within the edit limit can end: with a piece of the window unchanged."""
-    found, at, edits = set(), 0, items.rules.edits
-    for piece in items.pieces[w]:
+    found, at, edits, size = set(), 0, int(items.limits[w]), int(items.sizes[w])
+    for piece in items.pieces(w):
         where = text.find(piece)
         while where >= 0:
-            end = where + WINDOW - at  # of the stretch, give or take the edits
+            end = where + size - at  # of the stretch, give or take the edits
             found.update(range(max(end - edits, 1) // GROUP, max(min(end + edits, len(text)), 1) // GROUP + 1))
             where = text.find(piece, where + 1)
         at += len(piece)
@@ -218,8 +238,9 @@ def measured(items: Items, jobs: Iterable[tuple[int, int, int]], codes: dict[int
     while some := list(islice(jobs, ROWS)):
         begins = np.array([starts[i] + g * GROUP for i, g, _ in some], np.int64)
         regions = flat[np.arange(skip + GROUP)[:, None] + begins].T
-        best, ends = distances(items.masks, np.array([w for *_, w in some]), regions, skip)
-        for n in np.flatnonzero(best <= items.rules.edits).tolist():
+        windows, at = np.unique([w for *_, w in some], return_inverse=True)
+        best, ends = distances(items.masks(windows), at, regions, skip)
+        for n in np.flatnonzero(best <= items.limits[windows[at]]).tolist():
             i, g, w = some[n]
             yield i, w, g * GROUP + int(ends[n]) - skip - 1
 
@@ -336,11 +357,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     def passed(part: list[tuple[int, str]]) -> DataFrame:
         ids, raw = [r[0] for r in part], [r[1] for r in part]
+        own_rare = rare & {w for t in raw for w in map(squeeze, WORDS.findall(plain(t)))}
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Items.build(ids, raw, rules, rare)
+            own = Items.build(ids, raw, rules, own_rare)
             if not len(own.starts):
-                return  # no item is long enough for a window
+                return  # no item is a passage
             automaton = own.automaton()
             for batch in batches:
                 keys, texts = batch.column(doc_id).to_pylist(), batch.column(text).to_pylist()

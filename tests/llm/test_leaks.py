@@ -40,7 +40,7 @@ def test_distances_against_the_recursion():
         regions.append([items.alphabet.get(ord(c), len(items.alphabet)) for c in region])
         wins.append(w)
         wanted.append(least_distance(text, region))
-    best, _ = distances(items.masks, np.array(wins), np.array(regions))
+    best, _ = distances(items.masks(np.arange(len(items.starts))), np.array(wins), np.array(regions))
     assert best.tolist() == wanted
 
 
@@ -103,6 +103,28 @@ def test_a_place_within_the_budget_has_a_piece():
         assert (len(before) + len(own)) // GROUP in groups_with_piece(items, before + "".join(own) + "-" * 50, w)
 
 
+def test_short_windows_against_the_recursion():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in range(1, 64)]
+    items = Items.build(list(range(63)), texts, Rules(least=1), set())
+    assert items.limits.tolist() == [14 * n // 64 for n in range(1, 64)]
+    regions, wanted = [], []
+    for t in texts:
+        region = "".join(rng.choice("abcde") for _ in range(110))
+        regions.append([items.alphabet.get(ord(c), len(items.alphabet)) for c in region])
+        wanted.append(least_distance(t, region))
+    best, _ = distances(items.masks(np.arange(63)), np.arange(63), np.array(regions), 70)
+    whole, _ = distances(items.masks(np.arange(63)), np.arange(63), np.array([[len(items.alphabet)] * 64 + r for r in regions]))
+    assert whole.tolist() == wanted and (best >= whole).all()
+
+
+@pytest.mark.parametrize("size", [20, 40, 63])
+def test_items_shorter_than_a_window_are_found(spark, size):
+    item = "the grey heron of Ulvorrel keeps seven copper bells beneath its northern stair"[:size]
+    docs = [(1, FILLER + item + FILLER, "s", "i"), (2, FILLER, "s", "i"), (3, FILLER + item[: size // 2] + FILLER, "s", "i"), (4, FILLER + item.upper().replace(" ", "-") + FILLER, "s", "i"), (5, item, "s", "i")]
+    assert set(found(spark, docs, [(7, item, "x")])) == {(1, 7), (4, 7), (5, 7)}
+
+
 def test_same_turns_of_phrase_are_not_held(spark):
     rng = random.Random(6)
 
