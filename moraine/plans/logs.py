@@ -80,23 +80,36 @@ def banned(spark: SparkSession, folder: str) -> DataFrame:
     return words.withColumn("hangul", F.col("word").rlike("[가-힣]"))
 
 
-def without_banned(rows: DataFrame, words: DataFrame, column: str = "query") -> DataFrame:
-    """Rows whose text holds no banned word: Korean ones anywhere, others as whole words.
+#: Listed words up to which one pattern tests a text; more are looked up in a table.
+PATTERN_WORDS = 1000
+BOUND = "(^|[^a-z0-9_])", "($|[^a-z0-9_])"
+
+
+def with_banned(rows: DataFrame, words: DataFrame, column: str = "query", flag: str = "is_banned", most: int = PATTERN_WORDS) -> DataFrame:
+    """Rows with a flag: whether the text holds a listed word, Korean ones anywhere, others as whole words.
 
-    The word list is a small dictionary; its size is checked, and it becomes two patterns, so no pair is formed.
+    A short list becomes two patterns. A longer one stays a table: of every different text the substrings that are
+    as long as some listed word are looked up in it, so the work grows with the text and not with the list.
     """
-    listed = words.limit(100_001).collect()
-    if len(listed) > 100_000:
-        raise ValueError("more than 100,000 banned words")
-    quoted = lambda w: r"\Q" + w + r"\E"
-    inside = [quoted(r["word"]) for r in listed if r["hangul"]]
-    whole = [quoted(r["word"]) for r in listed if not r["hangul"]]
-    out = rows
-    if inside:
-        out = out.where(~F.col(column).rlike("|".join(sorted(inside))))
-    if whole:
-        out = out.where(~F.col(column).rlike("(^|[^a-z0-9_])(" + "|".join(sorted(whole)) + ")($|[^a-z0-9_])"))
-    return out
+    listed = words.limit(most + 1).collect()
+    if len(listed) <= most:
+        quoted = lambda w: r"\Q" + w + r"\E"
+        inside = "|".join(sorted(quoted(r["word"]) for r in listed if r["hangul"])) or "(?!)"
+        whole = "|".join(sorted(quoted(r["word"]) for r in listed if not r["hangul"])) or "(?!)"
+        return rows.withColumn(flag, F.coalesce(F.col(column).rlike(inside) | F.col(column).rlike(f"{BOUND[0]}({whole}){BOUND[1]}"), F.lit(False)))
+    text = F.col("_text")
+    lengths = F.array(*[F.lit(r[0]) for r in words.select(F.length("word")).distinct().collect()])  # one row a length of words
+    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.flatten(F.transform(lengths, lambda n: F.transform(starts(n), lambda i: F.struct(F.substring(text, i, n).alias("word"), F.substring(text, i - 1, F.when(i > 1, 1).otherwise(0)).alias("before"), F.substring(text, i + n, F.lit(1)).alias("after")))))
+    texts = rows.select(F.col(column).alias("_text")).where("_text is not null").distinct()
+    apart = ~F.col("p.before").rlike("[a-z0-9_]") & ~F.col("p.after").rlike("[a-z0-9_]")
+    held = texts.select("_text", F.explode(pieces).alias("p")).select("_text", F.col("p.word").alias("word"), apart.alias("apart")).join(words, "word").where("hangul or apart").select(F.col("_text").alias(column)).distinct()
+    return rows.join(held.withColumn(flag, F.lit(True)), column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def without_banned(rows: DataFrame, words: DataFrame, column: str = "query") -> DataFrame:
+    """Rows whose text holds no listed word."""
+    return with_banned(rows, words, column, "_banned").where("not _banned").select(*rows.columns)
 
 
 @registry.add("banned_filter", f"WITH {LOGS}, {BANNED} SELECT DISTINCT query FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE {IS_BANNED})")

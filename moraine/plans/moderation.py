@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions import markup
 from moraine.plans.common import HEADS, POSTS, current_posts
-from moraine.plans.logs import BANNED, IS_BANNED, LOGS, banned, logs
+from moraine.plans.logs import BANNED, IS_BANNED, LOGS, banned, logs, with_banned
 from moraine.plans.registry import Registry
 from moraine.plans.search import QUERIES, _rank_sql, _top, full_rank, index_of
 from moraine.operators import search as S
@@ -91,13 +91,11 @@ DECISION = (
 def summary_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a query gets a summary, by the first rule that applies; the times it was asked stand for hits."""
     counted = logs(spark, folder).groupBy("query").agg(F.count("*").alias("lines"))
-    listed = banned(spark, folder).limit(100_001).collect()
-    inside = "|".join(sorted(r"\Q" + r["word"] + r"\E" for r in listed if r["hangul"])) or "(?!)"
-    whole = "|".join(sorted(r"\Q" + r["word"] + r"\E" for r in listed if not r["hangul"])) or "(?!)"
+    counted = with_banned(counted, banned(spark, folder))
     q = F.col("query")
     reason = (
         F.when(F.length(q) < 2, "short")
-        .when(q.rlike(inside) | q.rlike(f"(^|[^a-z0-9_])({whole})($|[^a-z0-9_])"), "banned")
+        .when(F.col("is_banned"), "banned")
         .when(q.isin(*NAVIGATION), "navigation")
         .when(q.rlike(ADDRESS), "address")
         .when(q.rlike("|".join(TRADE)), "trade")

@@ -26,7 +26,8 @@ def render_namu(spark: SparkSession, folder: str) -> DataFrame:
 def render_any(spark: SparkSession, folder: str) -> DataFrame:
     """Every post by the renderer of its dialect; plain texts stay in the engine."""
     posts = current_posts(spark, folder, "content").withColumn("format", markup.wiki_format(F.col("content")))
-    plain = posts.where("format = 'plain'").select("id", "format", markup.plain_html(F.col("content")).alias("html"))
-    media = posts.where("format = 'mediawiki'").select("id", "format", render.media_html(F.col("content"))["html"].alias("html"))
-    namu = posts.where("format = 'namumark'").select("id", "format", render.namu_html(F.col("content"))["html"].alias("html"))
-    return plain.unionByName(media).unionByName(namu)
+    of = lambda name: F.when(F.col("format") == name, F.col("content"))
+    # one pass: a renderer gets nothing for the texts of another dialect
+    media, namu = render.media_html(of("mediawiki"))["html"], render.namu_html(of("namumark"))["html"]
+    html = F.when(F.col("format") == "plain", markup.plain_html(F.col("content"))).when(F.col("format") == "mediawiki", media).when(F.col("format") == "namumark", namu)
+    return posts.select("id", "format", html.alias("html"))

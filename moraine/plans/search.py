@@ -386,6 +386,7 @@ def more_like(spark: SparkSession, folder: str) -> DataFrame:
     """The ten posts nearest to every post whose id is divisible by 50, by its 25 most telling words."""
     docs = current_posts(spark, folder, "title", "content")
     tf = docs.select("id", F.explode(telling_words()).alias("term")).where(F.length("term") >= 2).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    tf = materialize(tf, "telling")  # read three times
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -444,6 +445,49 @@ def prefix_titles(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [by_prefix(posts, t) for t in TYPED])
 
 
+ESCAPED = ("c++ (draft)", 'say "a+b" & c', 'open "quote+', "", "금리/세금", "a:b~2", "plain words")
+
+
+@registry.add("escape_queries", "SELECT q AS query, escaped FROM (VALUES " + ", ".join(f"({markup.quoted(q)}, {markup.quoted(S.escape_query(q))})" for q in ESCAPED) + ") t(q, escaped)")
+def escape_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries with the characters of the query syntax escaped outside of phrases, by one expression."""
+    parts = F.regexp_extract_all("query", F.lit(r'"[^"]*"|[^"]+|"'), F.lit(0))
+    escaped = F.transform(parts, lambda x: F.when((F.length(x) > 1) & x.startswith('"'), x).otherwise(F.regexp_replace(x, r'([+\-!(){}\[\]^"~*?:\\/&|])', r"\\$1")))
+    return spark.createDataFrame([(q,) for q in ESCAPED], "query string").select("query", F.array_join(escaped, "").alias("escaped"))
+
+
+@registry.add(
+    "prefix_highlight",
+    f"WITH {POSTS}, a(typed) AS (VALUES ('notes'), ('버들'), ('zzzz')) SELECT typed, id, substring(title, 1, length(typed)) AS marked, substring(title, length(typed) + 1) AS rest FROM p JOIN a ON starts_with(lower(title), typed)",
+)
+def prefix_highlight(spark: SparkSession, folder: str) -> DataFrame:
+    """Suggested titles cut behind what has been typed, which is shown in bold."""
+    posts = current_posts(spark, folder, "title")
+    asked = F.array(*map(F.lit, ("notes", "버들", "zzzz")))
+    rows = posts.select("id", "title", F.explode(F.filter(asked, lambda t: F.startswith(F.lower("title"), t))).alias("typed"))
+    return rows.select("typed", "id", F.substring("title", F.lit(1), F.length("typed")).alias("marked"), F.substring("title", F.length("typed") + 1, F.length("title")).alias("rest"))
+
+
+#: Queries of which two hold no word at all.
+RAW = {1: "금리 세금", 2: "'", 3: "(", 4: "..."}
+
+
+@registry.add(
+    "search_fallback",
+    f"WITH {POSTS}, {_values('w', [(1, t, 1.0) for t in S.words_of_query(RAW[1])])}, {_bm25('bt', TITLE_SQL, 'w')}, r AS (SELECT qid, id, score FROM bt UNION ALL "
+    + " UNION ALL ".join(f"SELECT {q}, id, 1.0 FROM p WHERE starts_with(lower(title), {markup.quoted(t.lower())})" for q, t in RAW.items() if q > 1)
+    + f"), {_top('r', 10)} SELECT qid, id, score, place FROM top",
+)
+def search_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles by the words of the query; a query of which no word is left is taken as the beginning of a title."""
+    index = index_of(spark, folder)
+    terms = [(q, t, 1.0) for q, text in RAW.items() for t in dict.fromkeys(S.words_of_query(text))]
+    found = index.scored({"score": [("title", terms)]})
+    bare = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(t.lower()).alias("t")) for q, t in RAW.items() if not S.words_of_query(t)])
+    hits = index.docs().select("id", F.explode(F.filter(bare, lambda b: F.startswith(F.lower("title"), b["t"]))).alias("b")).select("b.qid", "id", F.lit(1.0).alias("score"))
+    return S.ranked(found.unionByName(hits), 10)
+
+
 @registry.add(
     "index_document",
     f"""WITH {POSTS} SELECT p.id, title, lower(title) AS title_raw, {korean.decompose_sql('lower(title)')} AS title_jamo, array_to_string({GRAMS_SQL}, ' ') AS title_ngram, {markup.snippet_source_sql('content')} AS snippet_source,

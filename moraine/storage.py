@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing has yet, in the application's own part of the shared folder, which goes when the application ends."""
+    application = spark.sparkContext.applicationId
+    own = _own.get(application)
+    if own is None or not own.startswith(shared_dir(spark)):
+        own = _own[application] = f"{shared_dir(spark)}/{application}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def in_use(spark: SparkSession, path: str) -> bool:

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moraine.storage import fresh_path
+from moraine.operators.maintenance import move_pointer, pointer
+from moraine.storage import fresh_path, in_use
 
 FEED_COLUMNS = ("op", "before", "after", "binlog_file", "binlog_pos")
 ROW = (
@@ -92,6 +93,13 @@ def _settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What batches have written to a folder, by numbered version; a folder that no batch has written yet is an empty table."""
+    if not in_use(spark, folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+
+
 class ChangeTable:
     """State and batch-versioned output of one feed, both below one folder."""
 
@@ -133,14 +141,28 @@ class ChangeTable:
 
     def diverted(self) -> DataFrame:
         """The messages that `divert` has kept, with the reason."""
-        self.spark.createDataFrame([], T._parse_datatype_string(LETTER)).coalesce(1).write.mode("overwrite").parquet(f"{self.letters}/version=-1")
-        return self.spark.read.schema(T._parse_datatype_string(LETTER + ", version BIGINT")).option("basePath", self.letters).parquet(self.letters)
+        return written(self.spark, self.letters, T._parse_datatype_string(LETTER + ", version BIGINT"))
+
+    def compact(self) -> None:
+        """Fold the versions written so far into one table of the last state of every key; later ones are read beside it.
+
+        The fold is named after the last version in it and counts once it is whole; tombstones stay, as late changes need them.
+        """
+        last = self.versions().agg(F.max("version")).first()[0]
+        if last is None:
+            return
+        state = F.struct("file_no", "binlog_pos", "deleted", "binlog_file", "payload")
+        newest = self.versions().groupBy("post_id").agg(F.max(state).alias("s")).select("post_id", "s.*")
+        newest.write.mode("overwrite").parquet(f"{self.folder}/folds/fold={last}")
+        move_pointer(self.spark, f"{self.folder}/folds", last)
 
     def versions(self) -> DataFrame:
-        schema = T._parse_datatype_string(STATE + ", version BIGINT")
-        # a folder that no batch has written yet is an empty table
-        self.spark.createDataFrame([], T._parse_datatype_string(STATE)).coalesce(1).write.mode("overwrite").parquet(f"{self.out}/version=-1")
-        return self.spark.read.schema(schema).option("basePath", self.out).parquet(self.out)
+        rows = written(self.spark, self.out, T._parse_datatype_string(STATE + ", version BIGINT"))
+        if not in_use(self.spark, f"{self.folder}/folds/CURRENT"):
+            return rows
+        last = pointer(self.spark, f"{self.folder}/folds")
+        fold = self.spark.read.schema(STATE).parquet(f"{self.folder}/folds/fold={last}").withColumn("version", F.lit(last).cast("bigint"))
+        return rows.where(F.col("version") > last).unionByName(fold)
 
     def current(self, *columns: str) -> DataFrame:
         """Keys that exist now, with the given columns of the state."""

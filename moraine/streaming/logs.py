@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from moraine.operators.logs import query_form
 from moraine.storage import fresh_path
-from moraine.streaming.cdc import ROCKSDB, _settings
+from moraine.streaming.cdc import ROCKSDB, _settings, written
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,9 +32,7 @@ def run(df: DataFrame, mode: str, label: str) -> DataFrame:
 
     with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
         df.writeStream.outputMode(mode).foreachBatch(publish).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    schema = df.schema
-    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/out/batch=-1")
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{path}/out").parquet(f"{path}/out")
+    return written(spark, f"{path}/out", T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def hourly_counts(logs: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -50,11 +48,14 @@ def view_deltas(clicks: DataFrame) -> DataFrame:
     return clicks.groupBy("post_id").agg(F.count("*").alias("delta"))
 
 
-def clicks_with_dwell(clicks: DataFrame, dwells: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Every click with the dwell times that its session reports for the post within an hour."""
+def clicks_with_dwell(clicks: DataFrame, dwells: DataFrame, within: str = "1 hour", how: str = "inner") -> DataFrame:
+    """Every click with the dwell times that its session reports for the post within an hour.
+
+    how = "left": a click without any comes out alone, once the watermark has passed its hour.
+    """
     left = clicks.where("session_id is not null").select("id", "session_id", "post_id", F.col("created_at").cast("timestamp").alias("clicked")).withWatermark("clicked", within)
     right = dwells.where("session_id is not null and dwell_time_ms >= 0").select(
         F.col("id").alias("dwell_id"), F.col("session_id").alias("s"), F.col("post_id").alias("p"), "dwell_time_ms", F.timestamp_add("MILLISECOND", F.col("dwell_time_ms").cast("int"), F.col("created_at").cast("timestamp")).alias("reported")
     ).withWatermark("reported", within)
     same = (F.col("session_id") == F.col("s")) & (F.col("post_id") == F.col("p")) & (F.col("reported") >= F.col("clicked")) & (F.col("reported") <= F.col("clicked") + F.expr(f"INTERVAL {within}"))
-    return left.join(right, same).select("id", "dwell_id", "session_id", "post_id", "dwell_time_ms")
+    return left.join(right, same, how).select("id", "dwell_id", "session_id", "post_id", "dwell_time_ms")

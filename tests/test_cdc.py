@@ -118,3 +118,24 @@ def test_dead_letters_are_kept_once(spark, tmp_path):
     got = table.diverted().collect()
     reasons = ["image unreadable", "op", "place", "image missing"]
     assert sorted((tuple(r)[:8] for r in got), key=lambda r: r[:2]) == [(*b, why) for b, why in zip(bad, reasons)] and {r["version"] for r in got} == {0, 1}
+
+
+def test_versions_fold_into_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from moraine.streaming.cdc import STATE, ChangeTable
+
+    table = ChangeTable(spark, f"file://{tmp_path}/t")
+    assert table.versions().count() == 0 and table.current("post_id").collect() == []
+    table.compact()
+    rows = [[(1, 1, 5, False, "a.1", "x"), (2, 1, 6, False, "a.1", "y")], [(1, 1, 9, True, "a.1", None)], [(1, 1, 7, False, "a.1", "late"), (3, 2, 1, False, "a.2", "z")]]
+    for i, part in enumerate(rows[:2]):
+        spark.createDataFrame(part, STATE).write.parquet(f"{table.out}/version={i}")
+    before = {tuple(r) for r in table.current("post_id", "payload").collect()}
+    table.compact()
+    assert {tuple(r) for r in table.current("post_id", "payload").collect()} == before == {(2, "y")}
+    assert table.versions().where(F.col("version") == 1).count() == 2
+    spark.createDataFrame(rows[2], STATE).write.parquet(f"{table.out}/version=2")
+    assert {tuple(r) for r in table.current("post_id", "payload").collect()} == {(2, "y"), (3, "z")}
+    table.compact()
+    assert {tuple(r) for r in table.current("post_id", "payload").collect()} == {(2, "y"), (3, "z")}

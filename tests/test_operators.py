@@ -9,6 +9,7 @@ from moraine.functions import words
 from moraine.operators import learning, logs, maintenance, search
 from moraine.operators.index import field_words
 from moraine.operators.numbering import numbered
+from moraine.plans.logs import with_banned, without_banned
 from moraine.plans.relational import node_of, ring_place
 from moraine.sources import dumps
 
@@ -117,3 +118,12 @@ def test_rate_limit_is_for_each_minute(spark):
     rows = [("k", f"2025-01-01 00:00:{i:02d}", i) for i in range(15)] + [("k", "2025-01-01 00:01:00", 99)]
     df = spark.createDataFrame(rows, "k string, ts string, id int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert sorted(r["id"] for r in logs.rate_limited(df, "k", "ts", "id").collect()) == [*range(10), 99]
+
+
+def test_listed_words_by_pattern_and_by_table(spark):
+    texts = ["abc slur", "slurry", "a-slur!", "나쁜말이다", "말", "", None, "x_slur", "slur9", "bad word here", "slur slur"]
+    rows = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "id int, query string, word string").drop("word")
+    words = spark.createDataFrame([("slur", False), ("나쁜", True), ("bad word", False)], "word string, hangul boolean")
+    got = [{r["id"] for r in with_banned(rows, words, most=most).collect() if r["is_banned"]} for most in (10, 0)]
+    assert got == [{0, 2, 3, 9, 10}] * 2 and with_banned(rows, words, most=0).count() == len(texts)
+    assert without_banned(rows, words.where("false")).count() == len(texts)
