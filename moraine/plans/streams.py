@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from moraine.plans.common import HEADS, current_posts
 from moraine.plans.registry import Registry
-from moraine.storage import fresh_path
 from moraine.streaming import logs as Z
 from moraine.tables import table
 
@@ -42,16 +41,12 @@ def stream_click_dwell(spark: SparkSession, folder: str) -> DataFrame:
 SELECT c.id, d.id AS dwell_id, c.session_id, c.post_id, d.dwell_time_ms FROM c LEFT JOIN d ON c.session_id = d.session_id AND c.post_id = d.post_id AND reported >= c.created_at AND reported <= c.created_at + INTERVAL 1 HOUR""",
 )
 def stream_click_dwell_left(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the clicks that get no dwell time; two last messages long after the rest let the watermark pass them all."""
-    path = fresh_path(spark, "clicks")
-    clicks = table(spark, folder, "click_logs")
-    clicks.write.parquet(f"{path}/a")
-    end = clicks.agg(F.max("created_at").alias("t"), F.max("id").alias("m")).select(F.lit(None).cast("bigint").alias("id"), (F.col("t") + F.expr("INTERVAL 30 DAYS")).alias("created_at"))
-    last = end.select(*[F.col(c) if c in ("id", "created_at") else F.lit("end" if c == "session_id" else 0 if c == "dwell_time_ms" else None).cast(clicks.schema[c].dataType).alias(c) for c in clicks.columns])
-    for part in ("b", "c"):  # the batch after the one that moves the watermark lets the clicks go
-        last.write.parquet(f"{path}/{part}")
-    read = lambda: spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
-    return Z.run(Z.clicks_with_dwell(read(), read(), how="left"), "append", "dwell").where("id is not null").drop("batch")
+    """The same with the clicks that get no dwell time: those the watermark has passed come from the stream, those whose hour is still open stand as they are."""
+    clicks = Z.stream(spark, folder, "click_logs")
+    out = Z.run(Z.clicks_with_dwell(clicks, Z.stream(spark, folder, "click_logs"), how="left"), "append", "dwell").drop("batch")
+    none = lambda name: F.lit(None).cast("bigint").alias(name)
+    still = table(spark, folder, "click_logs").where("session_id is not null").join(out.select("id"), "id", "left_anti")
+    return out.unionByName(still.select("id", none("dwell_id"), "session_id", "post_id", none("dwell_time_ms")))
 
 
 @registry.add("stream_click_sink", "SELECT id, query, post_id, click_position FROM click_logs")
