@@ -8,8 +8,8 @@ sentence gets the language of lowest cross-entropy a character; it is rejected i
 above what held-out sentences of the language have, or if the posterior, with a temperature fitted
 on held-out sentences, is too low. A rejected sentence belongs to its neighbours.
 
-A segment is a longest run of sentences in one language, of at least two; single sentences in
-between belong to the segment before them.
+A segment is a longest run of sentences in one language, of at least `least` (two, if not said
+otherwise); shorter runs in between belong to the segment before them.
 
 Texts are scored in one narrow pass over Arrow batches, without a shuffle; words are scored once a
 batch and their rows added up.
@@ -80,7 +80,8 @@ def fold(word: str) -> str:
 
 def _keys(word: str) -> tuple[list[list[int]], int]:
     """Packed n-grams of a bounded word for every order, 16 bits a character, and the number of positions."""
-    codes = [ord(c) & 0xFFFF for c in f"{word}\x03"]
+    # characters beyond 16 bits share one code that is no character
+    codes = [min(ord(c), 0xFFFF) for c in f"{word}\x03"]
     history = [2]
     out: list[list[int]] = [[] for _ in range(ORDER)]
     for c in codes:
@@ -304,7 +305,7 @@ def labelled_sample(posts: DataFrame, text: str, lang: str, key: str, rows: int)
     return sorted((r["code"], r["text"]) for r in picked.collect())
 
 
-def runs(found: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
+def runs(found: list[int], sizes: list[int], least: int = 2) -> list[tuple[int, int, int]]:
     """(language, first, end) of the segments of sentences with the languages found (-1: rejected)."""
     anchors: list[list[int]] = []
     at = 0
@@ -313,7 +314,7 @@ def runs(found: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
         end = at
         while end < len(known) and known[end][1] == known[at][1]:
             end += 1
-        if end - at >= 2:
+        if end - at >= least:
             if anchors and anchors[-1][0] == known[at][1]:
                 anchors[-1][2] = known[end - 1][0] + 1
             else:
@@ -335,7 +336,7 @@ def runs(found: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
 SEGMENTS = "array<struct<lang:string,confidence:double,sentences:int,chars:int>>"
 
 
-def segments(posts: DataFrame, key: str, text: str, tables: Tables) -> DataFrame:
+def segments(posts: DataFrame, key: str, text: str, tables: Tables, least: int = 2) -> DataFrame:
     """All columns but the text, and `segments`: language, confidence, number of sentences and characters of each, in text order."""
     shared = posts.sparkSession.sparkContext.broadcast(tables)  # bounded by the sample it was trained on
     kept = [c for c in posts.columns if c != text]
@@ -357,7 +358,7 @@ def segments(posts: DataFrame, key: str, text: str, tables: Tables) -> DataFrame
                     out.append([{"lang": "und", "confidence": 0.0, "sentences": 0, "chars": 0}])
                     continue
                 parts = []
-                for k, a, b in [(own[0], 0, len(own))] if len(set(own)) == 1 else runs(own, sizes):
+                for k, a, b in [(own[0], 0, len(own))] if len(set(own)) == 1 else runs(own, sizes, least):
                     mine = [(p, n) for p, n, f in zip(conf[a:b], sizes[a:b], own[a:b]) if f == k]
                     weight = sum(sizes[a:b])
                     parts.append({"lang": LANGUAGES[k] if k >= 0 else "und", "confidence": round(sum(p * n for p, n in mine) / weight, 6) if weight and k >= 0 else 0.0, "sentences": b - a, "chars": weight})

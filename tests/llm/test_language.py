@@ -87,6 +87,19 @@ def test_runs(found, wanted):
     assert runs(found, [10] * len(found)) == wanted
 
 
+def test_single_sentences_as_segments(spark, tables):
+    """en, en, de, en, en: one segment by the statement of the problem, three if single sentences count."""
+    assert runs([1, 1, 3, 1, 1], [10] * 5) == [(1, 0, 5)] and runs([1, 1, 3, 1, 1], [10] * 5, 1) == [(1, 0, 2), (3, 2, 3), (1, 3, 5)]
+    text = " ".join([*HELD["en"], HELD["de"][0], *HELD["en"]])
+    df = spark.createDataFrame([(1, text)], "id bigint, content string")
+    got = [[s["lang"] for s in segments(df, "id", "content", tables, least).first()["segments"]] for least in (2, 1)]
+    assert got == [["en"], ["en", "de", "en"]]
+
+
+def test_characters_beyond_sixteen_bits(tables):
+    assert langid._keys("\U00010061")[0][0][0] == 0xFFFF != langid._keys("a")[0][0][0]
+
+
 def test_labels(spark):
     names = ["KO", "kor", "ko-KR", "Korean", "en_US", "deu", "es-MX", "und", "", None, "xx", "-", "it", " ja "]
     got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(label(F.col("n"))).collect()]
