@@ -84,6 +84,7 @@ def snippet_source_sql(text: str) -> str:
     return f"nullif(substring({strip_markup_sql(f'substring({text}, 1, {SOURCE_CHARS})')}, 1, {STORED_CHARS}), '')"
 
 
+#: Links to categories.
 TAG_PATTERNS = (r"\[\[분류:([^|\]]+)(?:\|[^\]]*)?\]\]", r"(?i)\[\[Category:([^|\]]+)(?:\|[^\]]*)?\]\]")
 
 

@@ -28,6 +28,8 @@ ADDRESS = re.compile(r"\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]")
 RULE = re.compile(r"-{4,}\s*")
 #: Headings of sections that hold notes and links only; they are left out.
 LAST_SECTIONS = re.compile(r"각주|참고 ?문헌|참조|외부 링크|같이 보기|내용주|출처|관련 문서|references|external links|see also|notes", re.I)
+#: More of them in the template dialect.
+MEDIA_LAST_SECTIONS = re.compile(LAST_SECTIONS.pattern + r"|참고|관련 항목|함께 보기", re.I)
 
 
 @dataclass
@@ -184,14 +186,14 @@ def block(page: Page, kind: str, lines: list[str], inline: Inline) -> str:
     return "\n".join(f"<p>{y}</p>" for y in shown)
 
 
-def written(page: Page, text: str, kind: Callable[[str], tuple[str, str]], inline: Inline) -> str:
+def written(page: Page, text: str, kind: Callable[[str], tuple[str, str]], inline: Inline, last: re.Pattern = LAST_SECTIONS) -> str:
     """Blocks of all runs of lines, without the closing sections."""
     out, skipping = [], 0
     for name, run in groupby(map(kind, text.split("\n")), key=lambda x: x[0]):
         lines = [x[1] for x in run]
         if name[0] == "h" and name[1:].isdigit():
             level = int(name[1:])
-            closing = LAST_SECTIONS.fullmatch(lines[-1].strip()) is not None
+            closing = last.fullmatch(lines[-1].strip()) is not None
             if closing or level <= skipping:
                 skipping = level if closing else 0
         html = block(page, name, lines, inline)  # also what is left out names categories
@@ -256,7 +258,7 @@ def media(text: str) -> tuple[str, list[str], list[str]]:
         before, text = text, inner.sub(template, text)
     text = re.sub(r"\{\|[\s\S]*?\n\|\}", lambda m: media_table(page, m.group()), text)
     text = CATEGORY.sub(page.category, text)
-    return written(page, text, media_kind, media_inline), page.categories, page.footnotes
+    return written(page, text, media_kind, media_inline, MEDIA_LAST_SECTIONS), page.categories, page.footnotes
 
 
 def _column(render: Callable[[str], tuple[str, list[str], list[str]]]):

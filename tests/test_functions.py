@@ -118,3 +118,10 @@ def test_rendering_escapes_and_survives_long_texts():
     assert "<script" not in render.media("[[a|<script>]] [http://x.example <b>]")[0].replace("&lt;script", "")
     assert len(render.media("'''x''' " * 20_000)[0]) > 100_000
     assert render.namu("")[0] == ""
+
+
+@pytest.mark.parametrize("name, dialects", [("참고", 1), ("관련 항목", 1), ("함께 보기", 1), ("같이 보기", 2), ("본론", 0)])
+def test_closing_sections_of_each_dialect(name, dialects):
+    text = f"x\n== {name} ==\ngone\n== Next ==\nkept"
+    assert ["gone" not in f(text)[0] for f in (render.media, render.namu)] == [dialects > 0, dialects > 1]
+    assert all("kept" in f(text)[0] for f in (render.media, render.namu))
